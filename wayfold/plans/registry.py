@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from wayfold.operators import packed, spatial
+
 
 def flagship(spark, sf_dir):
     return queries()["p5_found"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {"p1_found": spatial.p1_found, "p5_found": packed.p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
