@@ -49,8 +49,9 @@ def cores(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Even out few or uneven input splits before costly Python work. Moves rows once."""
-    return df.repartition(cores(df.sparkSession) * per_core)
+    """Even out too few input splits before costly Python work; tables of enough splits are left as they are."""
+    want = cores(df.sparkSession) * per_core
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
 def finite(c: Column) -> Column:
