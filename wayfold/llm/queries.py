@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import mixing, tokens, topn
+from wayfold.llm import cluster, mixing, tokens, topn, vectors
 from wayfold.operators.rows import rows_in_use
 from wayfold.session import checkpointed, finite, spread, table
 
@@ -13,6 +13,33 @@ from wayfold.session import checkpointed, finite, spread, table
 MIX_TOTAL = None
 
 
+#: Elements of a good vector and the least cosine, rounded to six decimals, of a link.
+DIMENSIONS, LINK = 32, 0.95
+
+
+def vectors_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "embedding")
+    return checkpointed(rows_in_use(t, ["od_id"], "loaded_at", ["feature"], vectors.usable_vector("feature", DIMENSIONS)))
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.pivot_clusters(vectors_in_use(spark, sf_dir), "od_id", "feature", LINK)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = cluster.linked_groups(_clusters(spark, sf_dir), LINK)
+    return groups.select(F.col("first_id").alias("first_od"), F.col("id").alias("od_id"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cluster.closest_pivots(_clusters(spark, sf_dir), LINK)
+    return rows.select(F.col("id").alias("od_id"), F.col("pivot").alias("cluster"), F.round("cosine", 6).alias("cosine"))
+
+
+def p2_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.typical_members(checkpointed(cluster.closest_pivots(_clusters(spark, sf_dir), LINK)))
+
+
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in use of complete_pmedian_knn, sizes that agree to six decimals made one."""
     t = table(spark, sf_dir, "complete_pmedian_knn").withColumn("size", F.round("size", 6))
@@ -45,4 +72,4 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p2_typical": p2_typical, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
