@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import cluster, mixing, tokens, topn, vectors
+from wayfold.llm import cluster, mixing, neighbors, tokens, topn, vectors
 from wayfold.operators.rows import rows_in_use
 from wayfold.session import checkpointed, finite, spread, table
 
@@ -40,6 +40,16 @@ def p2_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.typical_members(checkpointed(cluster.closest_pivots(_clusters(spark, sf_dir), LINK)))
 
 
+def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbors.nearest_vectors(vectors_in_use(spark, sf_dir), "od_id", "feature", 3, LINK)
+    return near.select(F.col("id").alias("od_id"), F.col("other").alias("similar_od"), "cosine", "place")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p3_neighbors(spark, sf_dir)
+    return near.select(F.least("od_id", "similar_od").alias("od_a"), F.greatest("od_id", "similar_od").alias("od_b")).distinct()
+
+
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in use of complete_pmedian_knn, sizes that agree to six decimals made one."""
     t = table(spark, sf_dir, "complete_pmedian_knn").withColumn("size", F.round("size", 6))
@@ -72,4 +82,4 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p2_typical": p2_typical, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p2_typical": p2_typical, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}

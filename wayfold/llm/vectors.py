@@ -46,13 +46,19 @@ def at_least(threshold: float) -> float:
     return threshold - 0.5 * 10.0**-DECIMALS
 
 
-def coarse_pivots(df: DataFrame, key: str, vec: str, cell_rows: int = CELL_ROWS) -> tuple[np.ndarray, int]:
-    """Unit vectors of every so many rows by hash of their key, at most MOST_CELLS; and the number of rows."""
+def coarse_pivots(df: DataFrame, key: str, vec: str, cell_rows: int = CELL_ROWS, distinct: float = 0.9) -> tuple[np.ndarray, int]:
+    """Unit vectors of every so many rows by hash of their key, at most MOST_CELLS, and the number of rows.
+    Of pivots with a cosine of `distinct` or more only the first is kept, so a dense spot stays one cell."""
     n = df.count()
     want = int(min(MOST_CELLS, max(1, n // cell_rows)))
     rows = df.orderBy(F.xxhash64(key), key, vec).limit(want).select(vec).collect()
     p = unit(np.array([r[0] for r in rows], float)) if rows else np.empty((0, 1))
-    return p[np.isfinite(p).all(1)], n
+    p = p[np.isfinite(p).all(1)]
+    alike, keep = p @ p.T >= distinct, np.ones(len(p), bool)
+    for i in range(len(p)):
+        if keep[i]:
+            keep[i + 1 :] &= ~alike[i, i + 1 :]
+    return p[keep], n
 
 
 def place_in_cells(df: DataFrame, key: str, vec: str, pivots: np.ndarray) -> DataFrame:
