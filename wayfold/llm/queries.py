@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import cluster, mixing, neighbors, tokens, topn, vectors
+from wayfold.llm import cluster, mixing, mojibake, neighbors, tokens, topn, vectors
 from wayfold.operators.rows import rows_in_use
 from wayfold.session import checkpointed, finite, spread, table
 
@@ -81,5 +81,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(*_mix(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mojibake.find_garbled(spread(docs), "doc_id", "text").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mojibake.find_garbled(spread(docs), "doc_id", "text", restore=True)
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p2_typical": p2_typical, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p2_typical": p2_typical, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
