@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
+
 from wayfold.operators import packed, spatial
+from wayfold.plans.base import QUERIES, SQL
+
+for _m in ("reachability", "network_tables", "vectors", "designs", "reports"):
+    try:
+        importlib.import_module(f"wayfold.plans.{_m}")
+    except ModuleNotFoundError as e:
+        if e.name != f"wayfold.plans.{_m}":
+            raise
 
 
 def flagship(spark, sf_dir):
-    return queries()["p5_found"](spark, sf_dir)
+    """Accessibility of every origin under a design."""
+    return QUERIES["access_by_origin"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {"p1_found": spatial.p1_found, "p5_found": packed.p5_found}
+    return {"p1_found": spatial.p1_found, "p5_found": packed.p5_found} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
