@@ -231,3 +231,40 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
     shapes = table(spark, sf_dir, "sig_inter_polygon").filter(F.size("ring") >= 3)
     shapes = shapes.groupBy("poly_id").agg(F.max("ring").alias("ring"))
     return nearby(points, NEAR_METRES, shapes)
+
+
+#: Points of one chunk that a task searches for the nearest.
+NEAREST_CHUNK = 500_000
+
+
+def nearest_points(places: DataFrame, points: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(id, nearest, distance): the nearest of `points` (id, x, y) for each of `places` (id, x, y), ties to the smaller id.
+
+    Points go to the places in chunks of bounded size, each searched through two levels of pivots; with several chunks
+    the least distance of each place wins in one grouped minimum. Places or points without a finite place take no part.
+    """
+    ok = finite(F.col("x")) & finite(F.col("y")) & F.col("id").isNotNull()
+    points, places = points.select("id", "x", "y").filter(ok), places.select("id", "x", "y").filter(ok)
+    n = points.count()
+    chunks = max(1, -(-n // NEAREST_CHUNK))
+    parts = []
+    for c in range(chunks):
+        rows = points.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).orderBy("id").collect()
+        if not rows:
+            continue
+        ids, px, py = (np.array([r[i] for r in rows], t) for i, t in ((0, np.int64), (1, float), (2, float)))
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, px=px, py=py) -> Iterator[pa.RecordBatch]:
+            pivots = Pivots(px, py, metric)
+            for b in batches:
+                if b.num_rows:
+                    home, d, *_ = pivots.within_nearest(_floats(b, 1), _floats(b, 2), 0.0)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[home]), pa.array(d)], names=["id", "nearest", "distance"])
+
+        parts.append(places.mapInArrow(run, "id long, nearest long, distance double"))
+    if not parts:
+        return places.sparkSession.createDataFrame([], "id long, nearest long, distance double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if len(parts) == 1 else out.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("id", "b.nearest", "b.distance")

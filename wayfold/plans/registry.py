@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from wayfold.operators import packed, spatial
+from wayfold.operators import packed
 from wayfold.plans.base import QUERIES, SQL
 
 for _m in ("reachability", "network_tables", "vectors", "designs", "reports"):
@@ -21,7 +21,7 @@ def flagship(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"p1_found": spatial.p1_found, "p5_found": packed.p5_found} | QUERIES
+    return QUERIES | {"p5_found": packed.p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
