@@ -114,10 +114,11 @@ def shortest_paths(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataF
     return origins.select(F.col("orig").cast("long")).filter("orig is not null").distinct().mapInArrow(run, "orig long, node long, dist double, path array<long>")
 
 
-def reach_of_designs(runs: DataFrame, base: DataFrame, project_edges: DataFrame, cutoff: float) -> DataFrame:
+def reach_of_designs(runs: DataFrame, base: DataFrame | list, project_edges: DataFrame | list, cutoff: float) -> DataFrame:
     """(scen, orig, node, dist) for runs of (scen, orig, open array of projects): the base network with the edges of the
-    open projects put in, replacing edges between the same nodes. Each run is independent; runs are dealt evenly."""
-    fixed, extra = small_edges(base), small_edges(project_edges, "proj")
+    open projects put in, replacing edges between the same nodes. Each run is independent of the others. Edges may be given as `small_edges` returned them, for repeated use."""
+    fixed = base if isinstance(base, list) else small_edges(base)
+    extra = project_edges if isinstance(project_edges, list) else small_edges(project_edges, "proj")
     if fixed is None or extra is None:
         raise ValueError(f"designs need a network of at most {MOST_EDGES} edges")
 
