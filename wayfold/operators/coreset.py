@@ -192,3 +192,56 @@ def p_median(items: DataFrame, p: int, seed: int = 0, rounds: int = 5, swaps: in
         if obj >= before - 1e-12:
             break
     return reps.select("id", F.lit(obj).alias("obj"))
+
+
+def exact_median(items: DataFrame, p: int, metric: str = "cosine") -> DataFrame:
+    """(ids, obj): the best p representatives by trying all sets; for some twenty items at most. Ties to the first set."""
+    from itertools import combinations
+
+    rows = items.orderBy("id").limit(25).collect()
+    if len(rows) > 24:
+        raise ValueError("too many items to try all sets")
+    ids, v = [r["id"] for r in rows], np.array([r["vec"] for r in rows], float)
+    w = np.array([float(r["worth"]) for r in rows])
+    d = np.round(distances(v, v, metric), 9)
+    best = min(combinations(range(len(ids)), p), key=lambda s: (round(float((d[:, list(s)].min(1) * w).sum()), 9), s))
+    obj = float((d[:, list(best)].min(1) * w).sum())
+    return items.sparkSession.createDataFrame([([ids[i] for i in best], obj)], "ids array<long>, obj double")
+
+
+def perturbed_median(items: DataFrame, chosen: DataFrame, seed: int = 0) -> DataFrame:
+    """(id, kept): half of the chosen stay, the other half is forbidden and replaced by the items nearest to it that were
+    not chosen, each once; ties by id."""
+    n = chosen.count()
+    kept = uniform_sample(chosen.select("id"), n // 2, seed)
+    out = checkpointed(chosen.select("id").join(kept, "id", "left_anti").join(items.select("id", "vec"), "id"))
+    free = items.join(chosen.select("id"), "id", "left_anti")
+    near = checkpointed(nearest(out, free, max(1, n), "cosine").select("id", "rep", "distance"))
+    taken: set[int] = set()
+    replaced: set[int] = set()
+    pick = []  # as many as half of the chosen
+    for r in near.orderBy("distance", "id", "rep").toLocalIterator():
+        if r["id"] in replaced or r["rep"] in taken:
+            continue
+        pick.append((r["id"], r["rep"]))
+        replaced.add(r["id"])
+        taken.add(r["rep"])
+    new = items.sparkSession.createDataFrame([(b, False) for _, b in pick], "id long, kept boolean")
+    return kept.select("id", F.lit(True).alias("kept")).unionByName(new)
+
+
+def sample_batch(items: DataFrame, sizes: list[float], seeds: list[int]) -> DataFrame:
+    """(size, seed, id): one uniform sample for each share and seed, all in one job: items are ranked by hash within each
+    seed's hash bins, so no task orders all items."""
+    spark = items.sparkSession
+    n = items.count()
+    bins = 256
+    runs = items.select("id", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
+    hashed = runs.withColumn("h", F.xxhash64("seed", "id")).withColumn("bin", F.shiftrightunsigned("h", 56))
+    sizes_of = hashed.groupBy("seed", "bin").agg(F.count("*").alias("c"))
+    before = sizes_of.withColumn("before", F.sum("c").over(Window.partitionBy("seed").orderBy("bin")) - F.col("c")).select("seed", "bin", "before")
+    rank = F.row_number().over(Window.partitionBy("seed", "bin").orderBy("h", "id"))
+    ranked = hashed.join(F.broadcast(before), ["seed", "bin"]).withColumn("rank", F.col("before") + rank)
+    want = spark.createDataFrame([(float(s), int(n * s)) for s in sizes], "size double, want long")
+    assert bins * len(seeds) <= 100_000
+    return ranked.withColumn("one", F.lit(1)).join(F.broadcast(want.withColumn("one", F.lit(1))), "one").filter("rank <= want").select("size", "seed", "id")

@@ -112,3 +112,26 @@ def predict_hidden(df: DataFrame, model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p)], names=["id", "y", "prediction"])
 
     return df.select(F.col("id").cast("long"), "vec", F.col("y").cast("double")).mapInArrow(run, "id long, y double, prediction double")
+
+
+def bagged_total(items: DataFrame, reps: DataFrame, weights: DataFrame, share: float) -> DataFrame:
+    """One row (total, by_weights, by_fit): the target of all items, estimated by a blend of the representatives' weighted
+    targets and a fit on the representatives that predicts the rest. `items` and `reps` have id, vec, worth, y."""
+    fit = least_squares(reps.select("vec", (F.col("y") * F.col("worth")).alias("y")), ridge=0.1)
+    rest = items.join(reps.select("id"), "id", "left_anti")
+    fitted = (predict(rest, fit).agg(F.sum("prediction")).first()[0] or 0.0) + (reps.agg(F.sum(F.col("y") * F.col("worth"))).first()[0] or 0.0)
+    weighted = weights.join(reps.select(F.col("id").alias("rep"), "y"), "rep").agg(F.sum(F.col("weight") * F.col("y"))).first()[0] or 0.0
+    row = (share * weighted + (1 - share) * fitted, weighted, fitted)
+    return items.sparkSession.createDataFrame([tuple(map(float, row))], "total double, by_weights double, by_fit double")
+
+
+def boosted_total(items: DataFrame, reps: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row (total): nearest representative's target for each item, corrected by a fit of the representatives' residuals
+    against their own second-nearest neighbours' targets."""
+    from wayfold.operators.coreset import nearest
+
+    other = nearest(reps, reps, 2).filter("place = 2").select("id", "rep").join(reps.select(F.col("id").alias("rep"), F.col("y").alias("guess")), "rep")
+    residual = reps.join(other.select("id", "guess"), "id").select("vec", (F.col("y") - F.col("guess")).alias("y"))
+    fit = least_squares(residual, ridge=1.0)
+    guess = items.join(assigned, "id").join(reps.select(F.col("id").alias("rep"), F.col("y").alias("guess")), "rep")
+    return predict(guess, fit).agg(F.sum(F.col("worth") * (F.col("guess") + F.when(F.col("id") == F.col("rep"), 0.0).otherwise(F.col("prediction")))).alias("total"))

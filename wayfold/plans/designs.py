@@ -66,9 +66,11 @@ def scenario_connection_share(spark, sf):
 
 # --- design search -------------------------------------------------------------------------------------------------
 
-def problem(spark, sf, projects: str = "true", worth=None, weights=None, charge: float = 0.0) -> design.Problem:
+def problem(spark, sf, packages: int | None = None, worth=None, weights=None, charge: float = 0.0) -> design.Problem:
     n = Network(spark, sf)
-    edges = n.project_edges.filter(projects)
+    edges = n.project_edges  # with packages, all projects are dealt to that many packages that open as one
+    if packages:
+        edges = edges.withColumn("proj", F.col("proj") % packages)
     costs = edges.groupBy("proj").agg(F.sum("time").alias("cost"))
     pairs = n.od.select("od_id", "orig", "des").join(n.potentials.select(F.col("node").alias("des"), F.col("population").alias("weight")), "des")
     if weights is not None:
@@ -113,9 +115,9 @@ def greedy_design_ratio(spark, sf):
 
 
 ENUM_SQL = """
-first8 AS (SELECT proj FROM projects WHERE proj < 8), cost AS (SELECT proj, CAST(sum(time) AS BIGINT) AS cost FROM project_edges GROUP BY proj),
-sets AS (SELECT b AS scen, coalesce(sum(CASE WHEN (b >> proj) & 1 = 1 THEN cost END), 0) AS cost FROM (SELECT unnest(range(0, 256)) AS b), first8 JOIN cost USING (proj) GROUP BY b HAVING coalesce(sum(CASE WHEN (b >> proj) & 1 = 1 THEN cost END), 0) <= 20),
-se AS (SELECT s.scen, c.src, c.dst, c.time FROM sets s, cur c UNION ALL SELECT s.scen, p.src, p.dst, p.time FROM sets s JOIN project_edges p ON p.proj < 8 AND (s.scen >> p.proj) & 1 = 1),
+pack AS (SELECT proj % 8 AS proj, src, dst, time FROM project_edges), cost AS (SELECT proj, CAST(sum(time) AS BIGINT) AS cost FROM pack GROUP BY proj),
+sets AS (SELECT b AS scen, coalesce(sum(CASE WHEN (b >> proj) & 1 = 1 THEN cost END), 0) AS cost FROM (SELECT unnest(range(0, 256)) AS b), cost GROUP BY b HAVING coalesce(sum(CASE WHEN (b >> proj) & 1 = 1 THEN cost END), 0) <= 100),
+se AS (SELECT s.scen, c.src, c.dst, c.time FROM sets s, cur c UNION ALL SELECT s.scen, p.src, p.dst, p.time FROM sets s JOIN pack p ON (s.scen >> p.proj) & 1 = 1),
 en_r AS (SELECT s.scen, n.id AS orig, n.id AS node, CAST(0 AS BIGINT) AS dist FROM sets s, nodes n UNION SELECT r.scen, r.orig, e.dst, r.dist + e.time FROM en_r r JOIN se e ON e.scen = r.scen AND e.src = r.node WHERE r.dist + e.time <= 15),
 en AS (SELECT scen, orig, node, min(dist) AS dist FROM en_r GROUP BY scen, orig, node),
 score AS (SELECT en.scen, CAST(sum(p.population) AS DOUBLE) AS score FROM en JOIN od ON od.orig = en.orig AND od.des = en.node JOIN pot p ON p.node = en.node GROUP BY en.scen)"""
@@ -123,14 +125,14 @@ score AS (SELECT en.scen, CAST(sum(p.population) AS DOUBLE) AS score FROM en JOI
 
 @query("enumerated_design", with_net(" SELECT scen, CAST(cost AS DOUBLE) AS cost, coalesce(score, 0) AS score FROM sets LEFT JOIN score USING (scen) ORDER BY coalesce(score, 0) DESC, scen LIMIT 1", OD, ENUM_SQL))
 def enumerated_design(spark, sf):
-    """Exact best design of the first eight projects, by trying all affordable sets."""
-    return design.enumerate_best(problem(spark, sf, "proj < 8"), 8, 20).select("scen", "cost", "score")
+    """Exact best design of all projects in eight packages, by trying all affordable sets."""
+    return design.enumerate_best(problem(spark, sf, 8), 8, 100).select("scen", "cost", "score")
 
 
 @query("cut_loop_design", with_net(" SELECT coalesce(score, 0) AS score FROM sets LEFT JOIN score USING (scen) ORDER BY coalesce(score, 0) DESC, scen LIMIT 1", OD, ENUM_SQL))
 def cut_loop_design(spark, sf):
     """The same optimum through cuts and a master problem."""
-    return design.cut_loop(problem(spark, sf, "proj < 8"), 20).select("score")
+    return design.cut_loop(problem(spark, sf, 8), 100).select("score")
 
 
 def _piecewise(variant):
@@ -143,7 +145,7 @@ def _piecewise(variant):
 @query("cut_loop_piecewise")
 def cut_loop_piecewise(spark, sf):
     """Cuts with the piecewise objective and a charge per project."""
-    return design.cut_loop(problem(spark, sf, "proj < 10", _piecewise("exp"), charge=1.0), 24)
+    return design.cut_loop(problem(spark, sf, 10, _piecewise("exp"), charge=1.0), 80)
 
 
 @query("cut_loop_equity")
@@ -154,7 +156,7 @@ def cut_loop_equity(spark, sf):
 
     score = n.table("customer").groupBy(F.col("c_nationkey").cast("long").alias("orig")).agg(F.avg("c_acctbal").alias("s"))
     factor = quantile_group(score, "s", 5, "g").select("orig", (6.0 - F.col("g")).alias("factor"))
-    return design.cut_loop(problem(spark, sf, "proj < 10", weights=n.od.join(factor, "orig").select("od_id", "factor")), 24)
+    return design.cut_loop(problem(spark, sf, 10, weights=n.od.join(factor, "orig").select("od_id", "factor")), 80)
 
 
 @query("reduced_problem_design")
@@ -176,9 +178,9 @@ def reduced_problem_design(spark, sf):
 
 @query("swap_design")
 def swap_design(spark, sf):
-    p = problem(spark, sf, "proj < 12")
-    start = [r["selected"] for r in design.greedy(p, 20).orderBy(F.desc("step")).limit(1).collect()]
-    opened, score = design.swap_search(p, list(start[0]) if start else [], 20, rounds=3)
+    p = problem(spark, sf, 12)
+    start = [r["selected"] for r in design.greedy(p, 60).orderBy(F.desc("step")).limit(1).collect()]
+    opened, score = design.swap_search(p, list(start[0]) if start else [], 60, rounds=3)
     return spark.createDataFrame([(opened, float(score))], "open array<int>, score double")
 
 
