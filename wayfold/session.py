@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,35 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str =
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session; they need not have it installed. Spark's own file server
+    hands the archive out, so nothing is read from a folder of one machine."""
+    sc = spark.sparkContext
+    if getattr(sc, "_wayfold_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="wayfold-"), "wayfold.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("wayfold", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._wayfold_shipped = True
+
+
+def shipped(query):
+    """A query of (spark, sf_dir) that sends the package to the workers first."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the session; only where it names none, one of our own (tests)."""
     sc = spark.sparkContext
