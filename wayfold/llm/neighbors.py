@@ -25,7 +25,8 @@ SHARD_ROWS, MOST_SHARD_ROWS, QUERY_ROWS = 8_000, 100_000, 100_000
 #: How much less similar than its own a cell's pivot may be for the cell to be searched. Measured: 0.06 finds the cells
 #: of 99.99 percent of neighbours of cosine 0.95 or more.
 MARGIN = 0.06
-#: Links of a node, width of the search while building and while answering, candidates computed exactly.
+#: Links of a node, width of the search while building and while answering, candidates computed exactly. Answers search
+#: half as much again for each doubling of a shard beyond SHARD_ROWS, as a denser graph hides more neighbours.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH, EXACT = 16, 64, 64, 12
 
 
@@ -58,9 +59,10 @@ def _search_shard(k: int, least: float, links: int, build: int, width: int):
         out = [[], [], []]
         if len(own) and len(q):
             graph = HNSW(own, links, build, batch=max(128, min(1024, 30_000_000 // len(own))))
+            reach = int(width * (1 + 0.5 * np.log2(max(1.0, len(own) / SHARD_ROWS))))
             for i in range(0, len(q), 8192):
                 part, part_ids = q[i : i + 8192], q_ids[i : i + 8192]
-                found, sims = graph.search(part, width, batch=max(128, min(1024, 30_000_000 // len(own))))
+                found, sims = graph.search(part, reach, batch=max(128, min(1024, 30_000_000 // len(own))))
                 own_self = (found >= 0) & (own_ids[np.maximum(found, 0)] == part_ids[:, None])
                 sims = np.where(own_self | (found < 0), -2, sims)
                 take = np.argsort(-sims, 1, kind="stable")[:, : max(EXACT, 2 * k)]
