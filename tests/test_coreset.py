@@ -94,3 +94,17 @@ def test_as_of_and_quantiles(spark):
     q = report.quantile_group(spark.createDataFrame([(v,) for v in vals], "v double"), "v", 5, "g")
     want = list(pd.qcut(pd.Series(vals), 5, labels=False) + 1)
     assert sorted((r["v"], r["g"]) for r in q.collect()) == sorted(zip(vals, want))
+
+
+def test_regression_weights_equal_fit_then_predict(spark, items):
+    v, df = items
+    reps = df.filter("id % 4 = 0")
+    w = {r["rep"]: r["weight"] for r in learn.regression_weights(df, reps, ridge=1e-9).collect()}
+    rng = np.random.default_rng(8)
+    value = rng.normal(size=120)
+    worth = np.array([1.0 + i % 4 for i in range(120)])
+    inside = np.arange(120) % 4 == 0
+    x = np.concatenate([np.ones((120, 1)), v], 1)
+    beta = np.linalg.lstsq(x[inside], value[inside], rcond=None)[0]
+    want = (worth[inside] * value[inside]).sum() + (worth[~inside] * (x[~inside] @ beta)).sum()
+    assert sum(w[i] * value[i] for i in np.flatnonzero(inside)) == pytest.approx(want, rel=1e-6)

@@ -1,3 +1,6 @@
+import importlib
+import sys
+
 import __spark_entry__ as entry
 
 
@@ -22,3 +25,14 @@ def test_queries_match_their_sql(spark, small):
         want = con.execute(o[name]).df()[list(got.columns)]
         key = lambda d: sorted(map(tuple, d.round(5).astype(object).where(d.notna(), None).values.tolist()), key=str)
         assert key(got) == key(want), name
+
+
+def test_the_rest_works_without_the_training_data_subpackage(monkeypatch):
+    monkeypatch.setitem(sys.modules, "wayfold.llm", None)
+    try:
+        bare = importlib.reload(entry)
+        assert "p1_found" in bare.queries() and not any(n.startswith(("p2_", "p8_")) for n in bare.queries())
+        assert set(bare.oracle_sql()) <= set(bare.queries())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)

@@ -98,7 +98,8 @@ def median_objective(items: DataFrame, reps: DataFrame, kappa: int, uneven: floa
     near = near.join(items.select("id", "worth"), "id")
     cost = near.agg(F.sum(F.col("distance") * F.col("worth")).alias("cost"), F.countDistinct("id").alias("n"))
     counts = near.groupBy("rep").agg(F.count("*").alias("c"))
-    both = counts.join(F.broadcast(cost), F.lit(True)).join(F.broadcast(counts.agg(F.count("*").alias("used"))), F.lit(True))
+    both = counts.withColumn("one", F.lit(1)).join(F.broadcast(cost.withColumn("one", F.lit(1))), "one")
+    both = both.join(F.broadcast(counts.agg(F.count("*").alias("used"), F.lit(1).alias("one"))), "one")  # single rows
     spread = F.sum(F.abs(F.col("c") - F.col("n") / F.col("used"))).alias("spread")
     return both.agg(F.first("cost").alias("cost"), spread).select(F.round((1 - uneven) * F.col("cost") + uneven * 0.2 * F.col("spread"), 6).alias("obj"), F.round("spread", 6).alias("spread"))
 

@@ -38,7 +38,10 @@ class Problem:
 
     def values(self, designs: DataFrame) -> DataFrame:
         """(scen, od_id, value) of reached pairs, for designs (scen, open). Runs are one per design and origin."""
-        runs = designs.select("scen", "open", F.lit(1).alias("__one")).join(self.origins, "__one")
+        few = self.small
+        left = designs.select("scen", "open", F.lit(1).alias("__one"))
+        # each design is run from each origin; the smaller list, counted, travels to the other
+        runs = (left if few else F.broadcast(left)).join(F.broadcast(self.origins) if few else self.origins, "__one")
         runs = runs.repartition(2 * cores(designs.sparkSession), "scen", "orig").sortWithinPartitions("scen")
         base, extra = (d if e is None else e for d, e in zip((self.base, self.project_edges), self.edges))
         far = graph.reach_of_designs(runs, base, extra, self.cutoff)

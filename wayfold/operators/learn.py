@@ -135,3 +135,20 @@ def boosted_total(items: DataFrame, reps: DataFrame, assigned: DataFrame) -> Dat
     fit = least_squares(residual, ridge=1.0)
     guess = items.join(assigned, "id").join(reps.select(F.col("id").alias("rep"), F.col("y").alias("guess")), "rep")
     return predict(guess, fit).agg(F.sum(F.col("worth") * (F.col("guess") + F.when(F.col("id") == F.col("rep"), 0.0).otherwise(F.col("prediction")))).alias("total"))
+
+
+def regression_weights(items: DataFrame, reps: DataFrame, ridge: float = 1e-6) -> DataFrame:
+    """(rep, weight): what each representative's value counts for when the values of all other items are predicted by a
+    fit on the representatives. The fit is linear in the values, so predicting and adding up is a weighting:
+    own worth + x'(X'X + ridge)^-1 s, s being the sum over the others of worth times vector. A design search on these
+    weights therefore optimises the model with the fit inside. `items` and `reps` have id, vec, worth; an intercept is
+    added. Weights may be negative."""
+    rest = items.join(reps.select("id"), "id", "left_anti")
+    full = F.concat(F.array(F.lit(1.0)), F.col("vec").cast("array<double>"))
+    s = rest.select("worth", F.posexplode(full).alias("k", "x")).groupBy("k").agg(F.sum(F.col("worth") * F.col("x")).alias("s")).collect()
+    a, _ = _moments(reps.select("vec", F.lit(0.0).alias("y")), lambda x, y: np.ones(len(x)))
+    total = np.zeros(len(a))
+    for r in s:
+        total[r["k"]] = r["s"]
+    beta = np.linalg.solve(a + ridge * np.eye(len(a)), total)
+    return predict(reps, beta).select(F.col("id").alias("rep"), (F.col("prediction") + F.col("worth")).alias("weight"))

@@ -272,3 +272,62 @@ def reconstructed_objective(spark, sf):
     fit = learn.least_squares(reps.select("vec", F.col("worth").cast("double").alias("y")), ridge=0.1)
     rest = items.join(reps.select("id"), "id", "left_anti").withColumn("y", F.col("worth").cast("double"))
     return learn.predict(rest, fit).agg(F.sum("prediction").alias("predicted"), F.sum("y").alias("actual"), F.count("*").alias("n"))
+
+
+def _pair_items(spark, sf, p):
+    """Pairs with a small vector of their places and time."""
+    n = Network(spark, sf)
+    cell = lambda c: ((F.col(c) % 5).cast("double"), F.floor(F.col(c) / 5).cast("double"))
+    vec = F.array(*cell("orig"), *cell("des"), F.col("time").cast("double"))
+    return n.od.select(F.col("od_id").alias("id"), vec.alias("vec")).join(p.pairs.select(F.col("od_id").alias("id"), F.col("weight").alias("worth")), "id")
+
+
+@query("regression_weights")
+def regression_weights(spark, sf):
+    items = _pair_items(spark, sf, problem(spark, sf))
+    return learn.regression_weights(items, items.filter("id % 10 = 0"), ridge=1.0).select("rep", F.round("weight", 6).alias("weight"))
+
+
+@query("regression_design")
+def regression_design(spark, sf):
+    """Greedy design on representatives weighted so that a fit predicts all other pairs; every step scored on all pairs."""
+    from wayfold.session import checkpointed
+
+    p = problem(spark, sf)
+    items = checkpointed(_pair_items(spark, sf, p))
+    w = learn.regression_weights(items, items.filter("id % 10 = 0"), ridge=1.0)
+    small = p.pairs.drop("weight").join(w.select(F.col("rep").alias("od_id"), "weight"), "od_id")
+    g = design.greedy(design.Problem(p.base, p.project_edges, p.costs, small, p.cutoff), 24)
+    full = p.score(g.select(F.col("step").cast("long").alias("scen"), F.col("selected").alias("open"))).select(F.col("scen").cast("int").alias("step"), F.col("score").alias("full_score"))
+    return g.join(full, "step")
+
+
+EQUITY_SQL = ENUM_SQL.replace("score AS (", "flat_score AS (") + """,
+sc0 AS (SELECT CAST(c_nationkey AS BIGINT) AS orig, round(avg(c_acctbal), 6) AS score FROM customer GROUP BY 1), eq AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS q FROM sc0),
+grp AS (SELECT orig, 1 + (score > q[1])::INT + (score > q[2])::INT + (score > q[3])::INT + (score > q[4])::INT AS grp FROM sc0, eq),
+gains AS (SELECT en.scen, g.grp, CAST(sum(p.population) AS DOUBLE) AS gain FROM en JOIN od ON od.orig = en.orig AND od.des = en.node JOIN pot p ON p.node = en.node JOIN grp g ON g.orig = en.orig GROUP BY en.scen, g.grp),
+cells AS (SELECT s.scen, g.grp, coalesce(x.gain, 0) AS gain FROM sets s CROSS JOIN (SELECT DISTINCT grp FROM grp) g LEFT JOIN gains x ON x.scen = s.scen AND x.grp = g.grp),
+m AS (SELECT scen, sum(gain) AS efficiency, min(gain) AS rawls, sum(ln(1 + gain)) AS nash, -(max(gain) - min(gain)) + 0.001 * sum(gain) AS equality FROM cells GROUP BY scen),
+long AS (SELECT scen, 'efficiency' AS criterion, efficiency AS v FROM m UNION ALL SELECT scen, 'rawls', rawls FROM m UNION ALL SELECT scen, 'nash', nash FROM m UNION ALL SELECT scen, 'equality', equality FROM m)"""
+
+
+@query("equity_criteria", with_net(" SELECT criterion, scen, round(v, 6) AS value FROM long QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY round(v, 9) DESC, scen) = 1", OD, EQUITY_SQL))
+def equity_criteria(spark, sf):
+    """The best affordable set of packages by each criterion on the gains of the origins' quintiles: total, worst group,
+    product (sum of logs), and closeness of groups with the total as a tie-break."""
+    from wayfold.operators.report import quantile_group
+
+    n = Network(spark, sf)
+    p = problem(spark, sf, 8)
+    score = n.table("customer").groupBy(F.col("c_nationkey").cast("long").alias("orig")).agg(F.round(F.avg("c_acctbal"), 6).alias("s"))
+    grp = quantile_group(score, "s", 5, "grp").select("orig", "grp")
+    designs = design.all_designs(p.costs, 8, 100).select("scen", "open")
+    gains = p.values(designs).join(p.pairs.select("od_id", "orig"), "od_id").join(grp, "orig").groupBy("scen", "grp").agg(F.sum("value").alias("gain"))
+    groups = grp.select("grp").distinct().agg(F.collect_list("grp").alias("g"), F.lit(1).alias("one"))
+    cells = designs.select("scen", F.lit(1).alias("one")).join(F.broadcast(groups), "one").select("scen", F.explode("g").alias("grp"))
+    cells = cells.join(gains, ["scen", "grp"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+    total, low, high = F.sum("gain"), F.min("gain"), F.max("gain")
+    m = cells.groupBy("scen").agg(total.alias("efficiency"), low.alias("rawls"), F.sum(F.log1p("gain")).alias("nash"), (-(high - low) + 0.001 * total).alias("equality"))
+    long = m.unpivot("scen", ["efficiency", "rawls", "nash", "equality"], "criterion", "v")
+    best = long.groupBy("criterion").agg(F.max(F.struct(F.round("v", 9).alias("r"), (-F.col("scen")).alias("s"), "v")).alias("b"))
+    return best.select("criterion", (-F.col("b.s")).alias("scen"), F.round("b.v", 6).alias("value"))

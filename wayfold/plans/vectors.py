@@ -124,9 +124,9 @@ def topn_outlier_distance(spark, sf):
 @query("pairwise_distances", VEC_SQL + " SELECT id, rep, round(distance, 6) + 0 AS cosine, round(list_distance((SELECT vec FROM items x WHERE x.id = cos.id), (SELECT vec FROM items x WHERE x.id = cos.rep)), 6) AS euclidean FROM cos WHERE id % 25 = 0")
 def pairwise_distances(spark, sf):
     r = _reps(_items(spark, sf))
-    a, b = r.select("id", F.col("vec").alias("a"), F.lit(1).alias("one")), r.select(F.col("id").alias("rep"), F.col("vec").alias("b"), F.lit(1).alias("one"))
-    j = a.join(b, "one")
-    return j.select("id", "rep", (F.round(C.cosine_distance("a", "b"), 6) + 0).alias("cosine"), F.round(C.euclidean_distance("a", "b"), 6).alias("euclidean"))
+    n = r.count()
+    far = lambda metric: coreset.nearest(r, r, n, metric).select("id", "rep", F.round("distance", 6).alias(metric))
+    return far("cosine").join(far("euclidean"), ["id", "rep"])
 
 
 # Scenario matrices: each user of the events is a scenario; an item is an event type on one day of the month modulo 6.
