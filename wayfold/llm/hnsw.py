@@ -102,8 +102,9 @@ class HNSW:
             s = np.einsum("ijk,ik->ij", self.v[np.maximum(merged, 0)], self.v[w])
             links[w] = self._diverse(w, merged, np.where(merged >= 0, s, -2), most)
 
-    def search_level(self, q: np.ndarray, near: np.ndarray, k: int, width: int, step: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """The best `width` nodes found from the entries `near`, best first; -1 and -2 where there are fewer."""
+    def search_level(self, q: np.ndarray, near: np.ndarray, k: int, width: int, step: int = 3, enough: tuple[int, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The best `width` nodes found from the entries `near`, best first; -1 and -2 where there are fewer. With `enough`
+        = (count, least, floor) a query also ends once `count` nodes reach `least` and no open node reaches `floor`."""
         links, n, rows = self.levels[k].links, len(self.v), len(q)
         seen = np.zeros((rows, n + 1), bool)
         seen[:, n] = True
@@ -123,6 +124,9 @@ class HNSW:
             first = np.argsort(~b_open, 1, kind="stable")[:, :step]  # the beam is sorted, so these are the best unexpanded
             live = np.take_along_axis(b_open, first, 1)
             go = live.any(1)
+            if enough:
+                best_open = np.where(live, np.take_along_axis(b_sims, first, 1), np.float32(-2)).max(1)
+                go &= (best_open >= enough[2]) | (b_sims[:, min(enough[0], width) - 1] < enough[1])
             if not go.all():
                 active, b_ids, b_sims, b_open, first, live = active[go], b_ids[go], b_sims[go], b_open[go], first[go], live[go]
                 if not len(active):
@@ -146,7 +150,7 @@ class HNSW:
             beam_open[active] = np.take_along_axis(np.concatenate([b_open, fresh], 1), best, 1) & (beam_sims[active] > -1.5)
         return np.where(beam_sims > -1.5, beam_ids, -1), beam_sims
 
-    def search(self, q: np.ndarray, width: int, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, width: int, batch: int = 1024, enough: tuple[int, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cosines) of the `width` best found for each query."""
         q = np.ascontiguousarray(q, np.float32)
         ids, sims = np.full((len(q), width), -1, np.int64), np.full((len(q), width), -2, np.float32)
@@ -155,5 +159,5 @@ class HNSW:
             near = np.repeat(self.entry[None], len(part), 0)
             for k in range(len(self.levels) - 1, 0, -1):
                 near = self.search_level(part, near, k, 4)[0]
-            ids[i : i + batch], sims[i : i + batch] = self.search_level(part, near, 0, width)
+            ids[i : i + batch], sims[i : i + batch] = self.search_level(part, near, 0, width, enough=enough)
         return ids, sims

@@ -28,6 +28,9 @@ MARGIN = 0.06
 #: Links of a node, width of the search while building and while answering, candidates computed exactly. Answers search
 #: half as much again for each doubling of a shard beyond SHARD_ROWS, as a denser graph hides more neighbours.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH, EXACT = 16, 64, 64, 12
+#: A search ends early once it has twice as many neighbours above the threshold as asked for, itself among them, and all
+#: open nodes are less similar than the threshold by this much.
+ENOUGH_BELOW = 0.12
 
 
 def probe_cells(df: DataFrame, key: str, vec: str, pivots: np.ndarray, margin: float) -> DataFrame:
@@ -60,9 +63,10 @@ def _search_shard(k: int, least: float, links: int, build: int, width: int):
         if len(own) and len(q):
             graph = HNSW(own, links, build, batch=max(128, min(1024, 30_000_000 // len(own))))
             reach = int(width * (1 + 0.5 * np.log2(max(1.0, len(own) / SHARD_ROWS))))
+            enough = (2 * k + 1, least, least - ENOUGH_BELOW) if least > -0.5 else None
             for i in range(0, len(q), 8192):
                 part, part_ids = q[i : i + 8192], q_ids[i : i + 8192]
-                found, sims = graph.search(part, reach, batch=max(128, min(1024, 30_000_000 // len(own))))
+                found, sims = graph.search(part, reach, batch=max(128, min(1024, 30_000_000 // len(own))), enough=enough)
                 own_self = (found >= 0) & (own_ids[np.maximum(found, 0)] == part_ids[:, None])
                 sims = np.where(own_self | (found < 0), -2, sims)
                 take = np.argsort(-sims, 1, kind="stable")[:, : max(EXACT, 2 * k)]
