@@ -84,6 +84,13 @@ def metres_to_minutes(metres: Column, km_per_hour: float = 15.0) -> Column:
     return metres / (km_per_hour * 1000 / 60)
 
 
+def computed_once(df, **values: Column):
+    """Adds columns that are computed once a row: the generator keeps the optimiser from moving them into a lambda, where
+    they would be computed again for every element."""
+    boxed = df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in values.items()]))).alias("__once"))
+    return boxed.select(*df.columns, *[F.col(f"__once.{n}").alias(n) for n in values])
+
+
 def list_literal(text: Column) -> Column:
     """`[1, 2]` to an array of whole numbers; what is not a list gives null, an empty list an empty array."""
     return F.from_json(F.regexp_replace(text, r"\s+", " "), "array<bigint>")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfold.functions.columns import computed_once, dot
 from wayfold.operators.similarity import _matrix
 from wayfold.session import checkpointed
 
@@ -164,7 +165,9 @@ def p_median(items: DataFrame, p: int, seed: int = 0, rounds: int = 5, swaps: in
 
     With unit vectors the best member under cosine distance maximises the product with the sum of its cluster's
     vectors, so a cluster of any size costs one grouped sum and one grouped maximum, never all pairs."""
-    base = checkpointed(items.select(F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: x / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")))).alias("vec"), F.col("worth").cast("double").alias("worth")))
+    plain = items.select(F.col("id").cast("long").alias("id"), "vec", F.col("worth").cast("double").alias("worth"))
+    sized = computed_once(plain, length=F.sqrt(dot("vec", "vec")))
+    base = checkpointed(sized.select("id", F.transform("vec", lambda x: x / F.col("length")).alias("vec"), "worth"))
 
     def cost(reps: DataFrame) -> float:
         near = nearest(base, reps, 1, metric)

@@ -187,10 +187,10 @@ sim AS (SELECT a.id AS i, b.id AS j, list_sum(list_transform(list_zip(a.v, b.v),
 SELECT i, j, round(r / d, 6) AS w FROM sim""")
 def utility_similarity(spark, sf):
     v = _scenario_items(spark, sf).select("id", F.transform("vec", lambda x: x + 1).alias("v"))
-    n = F.size("v")
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / n
-    sd = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
-    inc = v.withColumns({"lo": F.array_min("v"), "sd": sd}).filter("sd > 0").select("id", F.transform("v", lambda x: (x / F.col("lo") - 1) / F.col("sd")).alias("vec"))
+    total = lambda f: F.aggregate("v", F.lit(0.0), lambda s, x: s + f(x)) / F.size("v")
+    v = C.computed_once(v, lo=F.array_min("v"), mean=total(lambda x: x))
+    v = C.computed_once(v, sd=F.sqrt(total(lambda x: (x - F.col("mean")) * (x - F.col("mean"))))).filter("sd > 0")
+    inc = v.select("id", F.transform("v", lambda x: (x / F.col("lo") - 1) / F.col("sd")).alias("vec"))
     return similarity.pair_scores(inc, similarity.utility_ratio).select("i", "j", F.round("w", 6).alias("w"))
 
 
