@@ -151,3 +151,18 @@ def test_recall_on_the_tables(spark):
     want = {(int(ids[i]), int(ids[j])) for i in np.flatnonzero(ids % 20 == 0) for j in np.lexsort((ids, -s[i]))[:3] if s[i, j] >= 0.95}
     got = {(r["id"], r["other"]) for r in neighbors.nearest_vectors(used, "od_id", "feature", 3, 0.95).filter(F.col("id") % 20 == 0).collect()}
     assert len(got & want) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("spread", [0.0, 1e-8])
+def test_ties_go_to_the_smallest_ids(spark, spread):
+    """A spot of 150 rows that are copies, or that tie at six decimals without being equal, beside 30 copies and others."""
+    rng = np.random.default_rng(8)
+    spot, twin = rng.normal(size=(2, 16))
+    m = np.concatenate([spot + rng.normal(scale=spread, size=(150, 16)), np.repeat(twin[None], 30, 0), rng.normal(size=(60, 16)), spot + rng.normal(scale=0.02, size=(5, 16))])
+    m = rng.permutation(m)
+    s = cosines(m)
+    np.fill_diagonal(s, -9)
+    want = {(i * 3 + 1, int(j) * 3 + 1, s[i, j], p + 1) for i in range(len(m)) for p, j in enumerate(np.lexsort((np.arange(len(m)), -s[i]))[:3]) if s[i, j] >= 0.95}
+    out = neighbors.nearest_vectors(frame(spark, m), "od_id", "feature", 3, 0.95).collect()
+    got = {(r["id"], r["other"], r["cosine"], r["place"]) for r in out}
+    assert len(out) == len(got) and len(want) > 500 and got == want

@@ -92,15 +92,18 @@ class HNSW:
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
         who, start, count = np.unique(target, return_index=True, return_counts=True)
-        extra = np.full((len(who), min(int(count.max()) if len(count) else 0, 64)), -1, np.int64)
         place = np.arange(len(target)) - np.repeat(start, count)
-        ok = place < extra.shape[1]
-        extra[np.repeat(np.arange(len(who)), count)[ok], place[ok]] = source[ok]
-        for i in range(0, len(who), 1024):
-            w = who[i : i + 1024]
-            merged = np.concatenate([links[w], extra[i : i + 1024]], 1)
-            s = np.einsum("ijk,ik->ij", self.v[np.maximum(merged, 0)], self.v[w])
-            links[w] = self._diverse(w, merged, np.where(merged >= 0, s, -2), most)
+        for first in range(0, int(count.max()) if len(count) else 0, 64):  # 64 at a time; few nodes get more in one batch
+            left = np.flatnonzero(count > first)
+            extra = np.full((len(who), min(int(count.max()) - first, 64)), -1, np.int64)
+            ok = (place >= first) & (place < first + 64)
+            extra[np.repeat(np.arange(len(who)), count)[ok], place[ok] - first] = source[ok]
+            for i in range(0, len(left), 1024):
+                at = left[i : i + 1024]
+                w = who[at]
+                merged = np.concatenate([links[w], extra[at]], 1)
+                s = np.einsum("ijk,ik->ij", self.v[np.maximum(merged, 0)], self.v[w])
+                links[w] = self._diverse(w, merged, np.where(merged >= 0, s, -2), most)
 
     def search_level(self, q: np.ndarray, near: np.ndarray, k: int, width: int, step: int = 3, enough: tuple[int, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The best `width` nodes found from the entries `near`, best first; -1 and -2 where there are fewer. With `enough`

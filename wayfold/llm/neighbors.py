@@ -3,7 +3,9 @@
 Rows are dealt to coarse cells by their most similar pivot; a cell, or each slab of a large one, is a shard. A vector is
 searched for in the shards of every cell whose pivot is nearly as similar as its own (within `margin`), so the number of
 searches a row needs does not grow with the table. Many queries of one shard are cut into chunks. The graph finds
-candidates; their cosines are then computed in double and rounded before they are ranked.
+candidates; the cosines of all that may round to the k-th or more are then computed in double and rounded before they are
+ranked. Rows with equal unit vectors enter as one and are told apart again at the end; a query with many candidates that
+tie at the k-th place is compared with its whole shard.
 """
 
 from __future__ import annotations
@@ -25,31 +27,62 @@ SHARD_ROWS, MOST_SHARD_ROWS, QUERY_ROWS = 8_000, 100_000, 100_000
 #: How much less similar than its own a cell's pivot may be for the cell to be searched. Measured: 0.06 finds the cells
 #: of 99.99 percent of neighbours of cosine 0.95 or more.
 MARGIN = 0.06
-#: Links of a node, width of the search while building and while answering, candidates computed exactly. Answers search
-#: half as much again for each doubling of a shard beyond SHARD_ROWS, as a denser graph hides more neighbours.
+#: Links of a node, width of the search while building and while answering, candidates about the k-th cosine beyond which
+#: a query is compared with its whole shard (twice k at least). Answers search half as much again for each
+#: doubling of a shard beyond SHARD_ROWS, as a denser graph hides more neighbours.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH, EXACT = 16, 64, 64, 12
 #: A search ends early once it has twice as many neighbours above the threshold as asked for, itself among them, and all
 #: open nodes are less similar than the threshold by this much.
 ENOUGH_BELOW = 0.12
 
 
-def probe_cells(df: DataFrame, key: str, vec: str, pivots: np.ndarray, margin: float) -> DataFrame:
-    """(id, vec, cell, probes): unit vectors with their own cell and all cells to search."""
+def unit_rows(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """(id, vec): unit vectors. Vectors of infinite length are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = unit(matrix(b.column(1)).astype(float))
+            v = unit(matrix(b.column(1)).astype(float)) + 0.0  # no negative zeros, so that equal vectors are equal keys
             ok = np.isfinite(v).all(1)
-            v = v[ok]
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), lists(v[ok])], names=["id", "vec"])
+
+    return df.select(F.col(key).cast("long"), vec).mapInArrow(run, "id long, vec array<double>")
+
+
+def probe_cells(units: DataFrame, pivots: np.ndarray, margin: float) -> DataFrame:
+    """(id, vec, cell, probes): unit vectors with their own cell and all cells to search."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = matrix(b.column(1))
             if not len(v):
                 continue
             c = v @ pivots.T
             row, cell = np.nonzero(c >= c.max(1, keepdims=True) - margin)
             at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(v)))])
             probes = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cell, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), lists(v), pa.array(c.argmax(1), pa.int32()), probes], names=["id", "vec", "cell", "probes"])
-
-    return df.select(F.col(key).cast("long"), vec).mapInArrow(run, "id long, vec array<double>, cell int, probes array<int>")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c.argmax(1), pa.int32()), probes], names=["id", "vec", "cell", "probes"])
+
+    return units.select("id", "vec").mapInArrow(run, "id long, vec array<double>, cell int, probes array<int>")
+
+
+def _whole_shard(own: np.ndarray, own_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, rounded cosine) of the `k` best of all nodes for each query; `own_ids` ascend, so of equal cosines
+    the first is that of the smallest id."""
+    out, step = [[], [], []], max(1, 8_000_000 // len(own))
+    for i in range(0, len(q), step):
+        c = q[i : i + step] @ own.T
+        c = np.where(c >= least, np.round(c, DECIMALS), -2)
+        c[own_ids[None, :] == q_ids[i : i + step, None]] = -2
+        rows = np.arange(len(c))
+        for _ in range(min(k, len(own))):
+            at = c.argmax(1)
+            best = c[rows, at]
+            ok = best > -1.5
+            for o, x in zip(out, (rows[ok] + i, at[ok], best[ok])):
+                o.append(x)
+            c[rows, at] = -2
+    return tuple(np.concatenate(o) for o in out)
 
 
 def _search_shard(k: int, least: float, links: int, build: int, width: int):
@@ -69,11 +102,20 @@ def _search_shard(k: int, least: float, links: int, build: int, width: int):
                 found, sims = graph.search(part, reach, batch=max(128, min(1024, 30_000_000 // len(own))), enough=enough)
                 own_self = (found >= 0) & (own_ids[np.maximum(found, 0)] == part_ids[:, None])
                 sims = np.where(own_self | (found < 0), -2, sims)
-                take = np.argsort(-sims, 1, kind="stable")[:, : max(EXACT, 2 * k)]
-                found, ok = np.take_along_axis(found, take, 1), np.take_along_axis(sims, take, 1) > -1.5
-                exact = np.einsum("ijk,ik->ij", own[np.maximum(found, 0)], part)
-                r, c = np.nonzero(ok & (exact >= least))
-                other, cosine = own_ids[found[r, c]], np.round(exact[r, c], DECIMALS)
+                # all that may round to the k-th cosine or more, with room for the error of a sum in single precision
+                slack = 10.0**-DECIMALS + 2 * (own.shape[1] + 2) * 2.0**-24
+                kth = -np.partition(-sims, k - 1, 1)[:, k - 1]
+                close = (sims > -1.5) & (sims >= np.maximum(kth, least)[:, None] - slack)
+                tied = close.sum(1) > max(EXACT, 2 * k)
+                r, c = np.nonzero(close & ~tied[:, None])
+                node = found[r, c]
+                exact = np.einsum("ij,ij->i", own[node], part[r])
+                r, node, cosine = r[exact >= least], node[exact >= least], np.round(exact[exact >= least], DECIMALS)
+                if tied.any():
+                    which = np.flatnonzero(tied)
+                    more = _whole_shard(own, own_ids, part[which], part_ids[which], k, least)
+                    r, node, cosine = np.append(r, which[more[0]]), np.append(node, more[1]), np.append(cosine, more[2])
+                other = own_ids[node]
                 by = np.lexsort((other, -cosine, r))
                 r, other, cosine = r[by], other[by], cosine[by]
                 start = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.empty(0, int)
@@ -90,13 +132,16 @@ def nearest_vectors(df: DataFrame, key: str, vec: str, k: int = 3, threshold: fl
     """(id, other, cosine, place): up to `k` other rows of highest cosine, rounded to six decimals, at `threshold` or
     more; ties to the smaller id. `df` has one row per key and usable vectors of one length; it is read twice.
 
-    Approximate: a neighbour can be missed by the graph or by `margin`; every row is indexed and every row asks.
+    Approximate: a neighbour can be missed by the graph or by `margin`; every row is indexed and every row asks. Equal
+    vectors are never missed: their smallest id stands for all of them until the end.
     """
     spark = df.sparkSession
-    pivots, n = coarse_pivots(df, key, vec, SHARD_ROWS)
+    units = unit_rows(df, key, vec)
+    apart = checkpointed(units.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    pivots, n = coarse_pivots(apart, "id", "vec", SHARD_ROWS)
     if not n or not len(pivots):
         return spark.createDataFrame([], "id long, other long, cosine double, place int")
-    rows = checkpointed(probe_cells(df, key, vec, pivots, margin))
+    rows = checkpointed(probe_cells(apart, pivots, margin))
     own = {r[0]: r[1] for r in rows.groupBy("cell").count().collect()}  # at most MOST_CELLS rows, as the next
     asked = {r[0]: r[1] for r in rows.select(F.explode("probes").alias("cell")).groupBy("cell").count().collect()}
     plan = [(c, -(-m // MOST_SHARD_ROWS), -(-asked.get(c, 1) // QUERY_ROWS)) for c, m in own.items()]
@@ -107,5 +152,28 @@ def nearest_vectors(df: DataFrame, key: str, vec: str, k: int = 3, threshold: fl
     ask = rows.select("id", "vec", F.explode("probes").alias("cell")).join(plan, "cell").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int"))
     ask = ask.withColumn("slab", upto("slabs")).select("cell", "slab", "chunk", F.lit(False).alias("data"), "id", "vec")
     found = data.unionByName(ask).groupBy("cell", "slab", "chunk").applyInArrow(_search_shard(k, at_least(threshold), links, build, width), "id long, other long, cosine double")
+    near = _first(found, k)
+    copied = apart.filter("copies > 1").select("vec", F.col("id").alias("rep"))
+    return near if copied.isEmpty() else _with_copies(near, units.join(copied, "vec").select("rep", "id"), k, threshold)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def _with_copies(near: DataFrame, members: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The neighbours of all rows, from those of the rows that stand for equal ones and their `members` (rep, id).
+
+    The `k` best of a row are among the `k` best vectors with their smallest ids and, as the row itself does not count,
+    the k + 1 smallest ids of its own vector.
+    """
+    members = checkpointed(members)
+    smallest = Window.partitionBy("rep").orderBy("id")
+    heads = members.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1).select("rep", F.col("id").alias("head"))
+    best = near.join(heads, F.col("other") == F.col("rep"), "left").select("id", F.coalesce("head", "other").alias("other"), "cosine")
+    if at_least(threshold) <= 1:
+        best = best.unionByName(heads.select(F.col("rep").alias("id"), F.col("head").alias("other"), F.lit(1.0).alias("cosine")))
+    best = _first(best, k + 1).withColumnRenamed("id", "of").drop("place")
+    every = best.join(members, F.col("of") == F.col("rep"), "left").select(F.coalesce("id", "of").alias("id"), "other", "cosine")
+    return _first(every.filter("id <> other"), k)
