@@ -166,3 +166,10 @@ def test_garbled_frame(spark):
     got = {r["doc_id"]: r["restored"] for r in out}
     assert set(got) == {100, 104} and got[100] == SENTENCES[0] and got[104] == "café " * 50_000
     assert mojibake.find_garbled(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_the_dictionary_holds_every_word_of_three_documents(spark):
+    words = ["é" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(7000)]
+    rows = [(i, " ".join(words)) for i in range(3)] + [(3, " ".join(words[:5])), (4, "żółw twice"), (5, "żółw twice")]
+    counts = mojibake.corpus_counts(spark.createDataFrame(rows, "doc_id long, text string"), "text")[1]
+    assert counts == {w: 4 if i < 5 else 3 for i, w in enumerate(words)}

@@ -4,8 +4,8 @@ Garbled sequences are computed beforehand for all pairs of encodings and matched
 
 * UTF-8 read as a one-byte encoding: every non-ASCII character the corpus uses gives one sequence for each encoding. Twice
   read text contains the sequences of the characters it was garbled to, and is restored by going through it again.
-* One legacy encoding read as another: letters turn into other letters, so single characters prove nothing. The frequent
-  words with non-ASCII letters, counted over all documents, are garbled for every pair; a garbled form counts only where
+* One legacy encoding read as another: letters turn into other letters, so single characters prove nothing. All words
+  with non-ASCII letters that stand in LEAST_DOCUMENTS documents or more, counted over the whole corpus, are garbled for every pair; a garbled form counts only where
   it stands as a word of its own and is far rarer in the corpus than the word it came from.
 * Replacement characters, which stand for what could not be read, cannot be restored but are counted.
 
@@ -33,8 +33,6 @@ READ_UTF8_AS = ["cp1252", "latin_1", "iso8859_15", "cp1250", "iso8859_2", "cp125
 #: Legacy encodings a text may have been written in and read in.
 LEGACY = ["cp1252", "iso8859_15", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp852", "mac_latin2", "cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic", "cp1253", "iso8859_7", "cp737"]
 JAPANESE = ["cp932", "euc_jp"]
-#: Words with letters outside ASCII that the dictionary holds at most, the most frequent ones (ties by spelling).
-MOST_WORDS = 6_000
 #: Documents a dictionary word must be in, and how many times as many as its garbled form.
 LEAST_DOCUMENTS, MORE_FREQUENT = 3, 4
 #: Garbled characters that make a document a case.
@@ -280,16 +278,17 @@ def _count_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corpus_counts(df: DataFrame, text: str) -> tuple[list[str], dict[str, int]]:
-    """Characters outside ASCII by falling number of documents, and the dictionary of frequent words, over all texts.
+    """Characters outside ASCII by falling number of documents, and the dictionary, over all texts.
 
-    Counted in each partition first, then by token; of the words the MOST_WORDS most frequent come to the driver.
+    Counted in each partition first, then by token; every word in LEAST_DOCUMENTS or more comes to the driver, some
+    three times as many for ten times the texts.
     """
     odd = df.select(text).filter(F.col(text).rlike(r"[^\x00-\x7F]"))
     counts = odd.mapInArrow(_count_batch, "word boolean, token string, n long").groupBy("word", "token").agg(F.sum("n").alias("n"))
     counts = checkpointed(counts.filter(F.col("n") >= LEAST_DOCUMENTS))
     order = [F.desc("n"), F.asc("token")]
     characters = counts.filter("not word").orderBy(*order).collect()  # at most as many as Unicode has
-    words = counts.filter("word").orderBy(*order).limit(MOST_WORDS).collect()
+    words = counts.filter("word").orderBy(*order).collect()
     return [r["token"] for r in characters], {r["token"]: r["n"] for r in words}
 
 
