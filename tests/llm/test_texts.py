@@ -173,3 +173,15 @@ def test_the_dictionary_holds_every_word_of_three_documents(spark):
     rows = [(i, " ".join(words)) for i in range(3)] + [(3, " ".join(words[:5])), (4, "żółw twice"), (5, "żółw twice")]
     counts = mojibake.corpus_counts(spark.createDataFrame(rows, "doc_id long, text string"), "text")[1]
     assert counts == {w: 4 if i < 5 else 3 for i, w in enumerate(words)}
+
+
+@pytest.mark.parametrize("read", ["cp1252", "mac_roman", "cp1251"])
+def test_garbled_stretch_within_text_without_blanks(finder, read):
+    bad = "".join(mojibake.misread(c, "utf_8", read) for c in "東川橋")
+    for before, after in (("区域から到達できる", "の住民は理由を尋ねた。"), ("住民は理由を尋ねた。", ""), ("", "から到達できる職場は増える。")):
+        finder_ = mojibake.Finder(list("東川橋を"), {})
+        assert finder_.garbled(before + bad + after) == 9 and finder_.restore(before + bad + after) == before + "東川橋" + after
+    one = mojibake.misread("を", "utf_8", read)
+    assert finder.garbled("住民は理由" + one + "尋ねた。") == 3 and finder.restore("住民は理由" + one + "尋ねた。") == "住民は理由を尋ねた。"
+    russian = "Жители—" + mojibake.misread("почему", "utf_8", "cp1252") + "—перекрёстке"
+    assert finder.restore(russian) == "Жители—почему—перекрёстке"

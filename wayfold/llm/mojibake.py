@@ -17,7 +17,8 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import ahocorasick
 import numpy as np
@@ -50,9 +51,10 @@ FIGURES = regex.compile(r"\d+")
 MARKED = regex.compile(APART[0] + r"[\p{L}\p{M}’“”‘„…]++" + APART[1])
 MARKS = str.maketrans("", "", "’“”‘„…")
 KANA = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー。、]{2,}")
-RUN = regex.compile(r"[^\x00-\x7f]+")
-#: Characters of a run of non-ASCII ones that sequences must cover, so that chance pairs in proper words do not count.
-COVERED = 0.6
+#: Part that sequences must cover of a stretch of non-ASCII characters that some encoding reads bytes as (scripts without
+#: blanks have proper text beside it), so that chance pairs in proper words do not count; and adjacent sequences of one
+#: encoding that need no cover.
+COVERED, CHAIN = 0.6, 3
 
 
 @lru_cache(maxsize=64)
@@ -103,14 +105,30 @@ def _plain(word: str) -> bool:
     return not core or len(scripts) == 1 and (core.islower() or core.isupper() or core.istitle() or core[1:].islower() or scripts == {3})
 
 
-def utf8_sequences(characters: list[str]) -> dict[str, str]:
-    """Garbled sequence to character. Of two characters with one sequence the first listed wins."""
-    out: dict[str, str] = {}
-    for read in READ_UTF8_AS:
+def utf8_sequences(characters: list[str]) -> dict[str, tuple[str, int]]:
+    """Garbled sequence to (character, encodings that give it as bits). Of two characters with one sequence the first
+    listed wins."""
+    out: dict[str, tuple[str, int]] = {}
+    for i, read in enumerate(READ_UTF8_AS):
         for c in characters:
             g = misread(c, "utf_8", read)
             if g and g != c:
-                out.setdefault(g, c)
+                to, bits = out.get(g, (c, 0))
+                if to == c:
+                    out[g] = (c, bits | 1 << i)
+    return out
+
+
+STRETCH = regex.compile("[" + regex.escape("".join(sorted({c for e in READ_UTF8_AS for c in table_of(e) if not c.isascii()})), special_only=False) + "]+")
+
+
+def _in_chain(units: list[tuple]) -> list[bool]:
+    """Whether each unit is one of CHAIN or more adjacent ones that one encoding gives."""
+    out = [False] * len(units)
+    for i in range(len(units) - CHAIN + 1):
+        part = units[i : i + CHAIN]
+        if all(a[1] == b[0] for a, b in zip(part, part[1:])) and reduce(and_, (u[4] for u in part)):
+            out[i : i + CHAIN] = [True] * CHAIN
     return out
 
 
@@ -170,8 +188,8 @@ class Finder:
             if not proof:
                 continue
             self.auto.add_word(g, (len(g), w, changed, pairs, True))
-        for g, c in utf8_sequences(list(dict.fromkeys([*characters, *twice_read_characters()]))).items():
-            self.auto.add_word(g, (len(g), c, len(g), 0, False))
+        for g, (c, readers) in utf8_sequences(list(dict.fromkeys([*characters, *twice_read_characters()]))).items():
+            self.auto.add_word(g, (len(g), c, len(g), readers, False))
         if len(self.auto):
             self.auto.make_automaton()
 
@@ -183,7 +201,7 @@ class Finder:
         for end, (size, to, changed, pairs, word) in self.auto.iter(text):
             a, z = end + 1 - size, end + 1
             if not word:
-                units.append((a, z, to, changed))
+                units.append((a, z, to, changed, pairs))
             elif not pairs or not (a and WORD_CHARACTER.match(text[a - 1]) or z < len(text) and WORD_CHARACTER.match(text[z])):
                 words.append((a, z, to, changed, pairs))
         out = []
@@ -197,14 +215,11 @@ class Finder:
                     cover[u[0] : u[1]] = 1
                     at = u[1]
             total = np.concatenate([[0], np.cumsum(cover)])
-            runs = [(m.start(), m.end()) for m in RUN.finditer(text)]
-            good = [(a, z) for a, z in runs if total[z] - total[a] >= COVERED * (z - a)]
-            k = 0
-            for u in chosen:
-                while k < len(good) and good[k][1] <= u[0]:
-                    k += 1
-                if k < len(good) and good[k][0] <= u[0]:
-                    out.append(u)
+            good = np.zeros(len(text) + 1, bool)
+            for m in STRETCH.finditer(text):
+                a, z = m.span()
+                good[a:z] = total[z] - total[a] >= COVERED * (z - a)
+            out = [u[:4] for u, chained in zip(chosen, _in_chain(chosen)) if chained or good[u[0]]]
         taken = np.zeros(len(text) + 1, bool)
         for a, z, _, _ in out:
             taken[a:z] = True
