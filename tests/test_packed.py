@@ -76,4 +76,29 @@ def test_very_long_field(spark):
 def test_code_lengths_cover_all_fields(spark):
     df = spark.createDataFrame([(i, "['a b', 12]") for i in range(30)] + [(99, "x_1")], "rec_id long, f string")
     code, escape = packed.value_codes(df, "f")
-    assert code["0"] < code["a_0"] <= escape
+    assert code["a "] < code["a_"] <= escape and code["0$"] < escape and "$0" not in code
+
+
+def test_balanced_quotes_never_lose():
+    """Whatever the value's length and kind, and whether the column knows its like or not."""
+    words = " ".join(f"w{i}," for i in range(60)) + " end"
+    for code in ({}, {"^a": 0.1, "a$": 0.1, "aa": 0.1}):
+        for q in "'\"`":
+            for v in ("the quick brown fox jumps over the lazy dog", words, "; ; ;", "x" * 5000, "a\tb / c | d", "[was 'x']".replace("'", "") if q == "'" else "[was far]"):
+                assert packed.best_parse(f"[{q}{v}{q}, b; 7]", code, 20.0) == [(1, v), (2, "b"), (3, "7")]
+
+
+def test_three_kinds_of_quotes_and_a_stray_one():
+    assert read("""“it's”, "a, b"; 5' tall""") == [(1, "it's"), (2, "a, b"), (3, "5"), (4, "tall")]
+    assert read("""'The "Ropewalk" link', "don't", `a "b' c`""") == [(1, 'The "Ropewalk" link'), (2, "don't"), (3, "a \"b' c")]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("'\"`"), st.text("ab ,;|()/'\"`", min_size=1, max_size=12)), min_size=1, max_size=5), st.sampled_from([", ", ";", " | ", " "]))
+def test_mixed_quotes_round_trip(items, mark):
+    """Each value in quotes of its own, other marks inside: no kind of mark is open at the end, so it comes out whole."""
+    field = mark.join(q + v.replace(q, q * 2) + q for q, v in items)
+    parsed = packed.parse(packed.strip_list(field), "\"'`")
+    if parsed[3] + parsed[4] == 0:
+        assert sum(packed.parse_cost(packed.parse(packed.strip_list(field), d), {}, 20.0)[0] == 0 for d in packed.dialects(field)) >= 1
+        assert read(field) in [packed.parse(packed.strip_list(field), d)[0] for d in packed.dialects(field) if packed.parse_cost(packed.parse(packed.strip_list(field), d), {}, 20.0)[0] == 0]

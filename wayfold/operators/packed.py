@@ -1,10 +1,15 @@
 """Several values packed in one field: one value per row, with its position.
 
-Dialects are chosen by minimum description length. A dialect says which quote marks count; a field is parsed under every
-dialect its characters allow, and the parse that costs the fewest bits wins. Value codes come from the whole column: a
-first pass counts the shapes of values over all fields and dialects (combined in each partition, then by shape), and a
-value costs the code length of its shape plus a fixed price for its characters. Separators cost the entropy of their
-kinds within the field; empty items, values that touch and quotes left open cost extra.
+Dialects are chosen by minimum description length. A dialect is a set of quote marks and a set of delimiters; a field is
+parsed under every set of the quote marks that occur in it. A delimiter that is not met costs its name for nothing, and a
+mark outside quotes that is no delimiter would stand in an unquoted value, which may hold none; so of the dialects with
+given quote marks the one with just the marks met outside quotes is always the cheapest, and only that one is scored. A
+parse with flaws (a quote mark that encloses nothing, values that touch) has to spell the field out, so one with fewer
+flaws is always cheaper, and quotes that pair up never lose to a parse that separates at them. Between parses with
+equal flaws the value codes decide: a value is a walk over kinds of characters (letters, digits, single signs), and the
+walk's steps have the code lengths of their frequency in the whole column, counted in a first pass. There are at most
+some hundred kinds of steps, so nothing is left out of the code table and no value is cut. Separators cost the entropy
+of their kinds within the field, empty items a fixed price.
 
 What a parse means is fixed: an unquoted value consists of letters, digits, `.`, `_` and `-`; everything else outside
 quotes separates, one mark with blanks around it or a run of blanks alone. Brackets around the list and quotes around a
@@ -20,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +35,8 @@ BLANK = " \t\r\n"
 OPENING, CLOSING = "[({<⟨【［（｛", "])}>⟩】］）｝"
 #: Quote marks, opening to closing.
 QUOTES = {'"': '"', "'": "'", "`": "`", "“": "”", "‘": "’", "«": "»", "„": "“"}
-#: Shapes that have codes of their own; a rarer shape costs the escape code and its characters.
-MOST_SHAPES = 10_000
-CHAR_BITS, OPEN_BITS, TOUCH_BITS, EMPTY_BITS = 5.0, 40.0, 40.0, 12.0
+#: Bits of a character beside its kind, and of an empty item.
+CHAR_BITS, EMPTY_BITS = 5.0, 12.0
 
 
 @lru_cache(maxsize=256)
@@ -125,27 +130,33 @@ def parse_bare(body: str) -> list[tuple[int, str]]:
 
 
 def dialects(body: str) -> list[str]:
-    """Sets of quote marks to try: all that occur, each alone, none. Of equal costs the first wins."""
+    """Sets of quote marks to try: every set of those that occur, larger ones first. Of equal costs the first wins."""
     there = [q for q in QUOTES if q in body]
-    if not there:
-        return [""]
-    return list(dict.fromkeys(["".join(there), *there, ""]))
+    return ["".join(c) for n in range(len(there), -1, -1) for c in combinations(there, n)]
 
 
-_SHAPE = re.compile(r"[^\W\d_]+|\d+")
+_RUN = re.compile(r"[^\W\d_]+|\d+|[ \t\r\n]+|.", re.DOTALL)
 
 
-def shape(value: str) -> str:
-    """Letters to a, digits to 0, runs to one; other characters as they are."""
-    return _SHAPE.sub(lambda m: "0" if m.group()[0].isdigit() else "a", value)[:64]
+def _kind(run: str) -> str:
+    c = run[0]
+    return "a" if c.isalpha() else "0" if c.isdigit() else " " if c in BLANK else c if c in "._-" else "?"
 
 
-def parse_cost(parsed, code: dict[str, float], escape: float) -> float:
+@lru_cache(maxsize=100_000)
+def steps(value: str) -> tuple[tuple[str, int], ...]:
+    """The steps of a value from kind to kind, from its start ^ to its end $, with their numbers."""
+    kinds = "^" + "".join(_kind(r) for r in _RUN.findall(value)) + "$"
+    return tuple(Counter(a + b for a, b in zip(kinds, kinds[1:])).items())
+
+
+def parse_cost(parsed, code: dict[str, float], escape: float) -> tuple[int, float]:
+    """(flaws, bits): fewer flaws are cheaper whatever the bits."""
     items, marks, empty, touching, opened = parsed
-    bits = sum(code.get(shape(v), escape + CHAR_BITS * len(v)) + CHAR_BITS * len(v) for _, v in items)
+    bits = sum(code.get(s, escape) * n for _, v in items for s, n in steps(v)) + CHAR_BITS * sum(len(v) for _, v in items)
     total = sum(marks.values())
     bits += sum(-n * math.log2(n / total) for n in marks.values()) + CHAR_BITS * len(marks)
-    return bits + EMPTY_BITS * empty + TOUCH_BITS * touching + OPEN_BITS * opened
+    return touching + opened, bits + EMPTY_BITS * empty
 
 
 def best_parse(field: str, code: dict[str, float], escape: float) -> list[tuple[int, str]]:
@@ -154,35 +165,37 @@ def best_parse(field: str, code: dict[str, float], escape: float) -> list[tuple[
     if len(tries) == 1:
         return parse_bare(body)
     parsed = [parse(body, q) for q in tries]
-    return min(parsed, key=lambda p: parse_cost(p, code, escape))[0]
+    clean = [p for p in parsed if not p[3] + p[4]] or parsed
+    if all(p[0] == clean[0][0] for p in clean[1:]):  # one reading only: no choice to score
+        if clean is not parsed:
+            return clean[0][0]
+    return min(clean, key=lambda p: parse_cost(p, code, escape))[0]
 
 
-def _count_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["shape", "n"])
-
     for b in batches:
         for field in b.column(0).to_pylist():
             body = strip_list(field or "")
             tries = dialects(body)
             for q in tries:
                 values = parse_bare(body) if len(tries) == 1 else parse(body, q)[0]
-                seen.update(shape(v) for _, v in values)
-        if len(seen) > 100_000:
-            yield out()
-            seen.clear()
+                for _, v in values:
+                    for s, n in steps(v):
+                        seen[s] += n
     if seen:
-        yield out()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["step", "n"])
 
 
 def value_codes(df: DataFrame, field: str) -> tuple[dict[str, float], float]:
-    """Code lengths in bits of the shapes of all values of the column, and that of the escape."""
-    counts = df.select(field).mapInArrow(_count_shapes, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "shape").limit(MOST_SHAPES).collect()
-    total = sum(r["n"] for r in rows) + 1
-    return {r["shape"]: -math.log2(r["n"] / total) for r in rows}, math.log2(total)
+    """Code lengths in bits of the steps of all values of the column, given the kind they start from, and that of a step
+    never seen. At most a hundred rows come to the driver, as there are nine kinds."""
+    counts = df.select(field).mapInArrow(_count_steps, "step string, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    rows = counts.collect()
+    total: Counter = Counter()
+    for r in rows:
+        total[r["step"][0]] += r["n"]
+    return {r["step"]: -math.log2(r["n"] / (total[r["step"][0]] + 1)) for r in rows}, math.log2(max(total.values(), default=0) + 2)
 
 
 def split_packed(df: DataFrame, key: str, field: str, codes: tuple[dict[str, float], float] | None = None) -> DataFrame:
@@ -221,7 +234,7 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-#: The rule without its choice of dialects, which these tables leave unambiguous: both ASCII quote marks count.
+#: The rule with both ASCII quote marks, the dialect that these tables' fields come out under.
 _P5_PART = r"""
 SELECT tbl, rec_id, pos, value FROM (
   SELECT 'TABLE_NAME' AS tbl, rec_id, mark,
