@@ -185,3 +185,47 @@ def test_garbled_stretch_within_text_without_blanks(finder, read):
     assert finder.garbled("住民は理由" + one + "尋ねた。") == 3 and finder.restore("住民は理由" + one + "尋ねた。") == "住民は理由を尋ねた。"
     russian = "Жители—" + mojibake.misread("почему", "utf_8", "cp1252") + "—перекрёстке"
     assert finder.restore(russian) == "Жители—почему—перекрёстке"
+
+
+@pytest.mark.parametrize("read", ["cp1252", "latin_1", "mac_roman", "cp437", "cp1250"])
+def test_utf8_misread_needs_no_corpus(read):
+    """Alphabets the corpus does not hold: chains of one script, and Latin letters by themselves."""
+    empty = mojibake.Finder([], {})
+    for s in (SENTENCES[5], SENTENCES[4], SENTENCES[7], "Şu yağışlı İstanbul gecesinde ışık göründü.", "שלום לכל העולם", "안녕하세요 여러분", "สวัสดีชาวโลก"):
+        bad = mojibake.misread(s, "utf_8", read)
+        good = empty.restore(bad)
+        assert empty.garbled(bad) >= 3 and good == s, (read, s, good)
+        assert empty.garbled(s) == 0
+
+
+def test_utf8_read_in_wide_encodings():
+    empty = mojibake.Finder([], {})
+    s = "住民は理由を尋ねた。区域から到達できる"
+    for read in mojibake.WIDE:
+        bad = mojibake.misread(s, "utf_8", read)
+        assert empty.garbled(bad) >= 3
+        if read != "big5":  # which has no character for most of the bytes: they are lost
+            assert sum(c in s for c in empty.restore(bad)) >= 0.5 * len(s)
+    for proper in ("== 水車小路 ==", s, "全角ＡＢＣ１２３", "ﾊﾝｶｸ カナ"):
+        assert empty.garbled(proper) == 0
+
+
+def test_proper_words_are_no_sequences(finder):
+    """Words of other scripts whose letters some encoding reads bytes as, within the corpus's characters and beyond."""
+    empty = mojibake.Finder([], {})
+    for s in ("ещё её всё моё ребёнок", "СТАНЦИЯ ТЕХНИКА ТА УЧЕБНЫЕ", "Дійсно її Ві", "ΔΊΚΗ ΕΊΝΑΙ", "KÓŁKO ŻÓŁĆ", "раб стена тек ночь", "ПОЧТОВЫЕ ящики", "ÄÖÜ ÅÄÖ", "ÇOK ĞÜZEL ŞİMDİ"):
+        assert empty.garbled(s) < 3 and empty.restore(s) == s, s
+        assert finder.garbled(s) < 3, s
+
+
+def test_rare_words_of_a_big_dictionary(spark):
+    """A word beyond the most frequent thousands is found in its garbled form, by the distributed dictionary."""
+    words = ["é" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "ô" for i in range(7000)]
+    rows = [(i, " ".join(words)) for i in range(3)] + [(i, " ".join(words[:6999])) for i in range(3, 9)]
+    rows += [(100, " ".join(f"({mojibake.misread(words[-1], 'cp1252', 'mac_roman')}),-x" for _ in range(4))), (101, words[-1] + "."), (None, "le r�seau � ét�"), (102, "d’été ‘x’")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: (r["garbled"], r["restored"]) for r in mojibake.find_garbled(df, "doc_id", "text", restore=True).collect()}
+    assert set(out) == {100, None} and out[100] == (8, " ".join([f"({words[-1]}),-x"] * 4)) and out[None][0] == 3
+    model = mojibake.corpus_counts(df, "text")
+    again = {r["doc_id"]: r["garbled"] for r in mojibake.find_garbled(df, "doc_id", "text", model=model).collect()}
+    assert again == {k: v[0] for k, v in out.items()}

@@ -83,12 +83,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mojibake.find_garbled(spread(docs), "doc_id", "text").select("doc_id")
+    return mojibake.find_garbled(docs, "doc_id", "text").select("doc_id")
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mojibake.find_garbled(spread(docs), "doc_id", "text", restore=True)
+    return mojibake.find_garbled(docs, "doc_id", "text", restore=True)
 
 
 def queries() -> dict:
