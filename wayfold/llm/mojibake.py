@@ -605,7 +605,8 @@ def block_dictionaries(counted: DataFrame) -> DataFrame:
     """
     vocabulary = checkpointed(counted.groupBy("token").agg(F.sum("n").alias("n")))
     held = vocabulary.filter(F.col("n") >= LEAST_DOCUMENTS)
-    forms = held.select("token", "n").mapInArrow(_garble, "form string, w string, n long, changed int, pairs string")
+    dealt = held.select("token", "n").repartition(2 * cores(counted.sparkSession))  # few bytes, much work: not to be merged
+    forms = dealt.mapInArrow(_garble, "form string, w string, n long, changed int, pairs string")
     met = checkpointed(forms.join(vocabulary.select(F.col("token").alias("form")), "form", "left_semi"))
     parts = met.select("form").distinct().mapInArrow(_form_parts, "form string, token string")
     most = parts.join(vocabulary, "token").groupBy("form").agg(F.max("n").alias("most"))
