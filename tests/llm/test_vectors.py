@@ -166,3 +166,19 @@ def test_ties_go_to_the_smallest_ids(spark, spread):
     out = neighbors.nearest_vectors(frame(spark, m), "od_id", "feature", 3, 0.95).collect()
     got = {(r["id"], r["other"], r["cosine"], r["place"]) for r in out}
     assert len(out) == len(got) and len(want) > 500 and got == want
+
+
+def test_many_copies_among_others(spark):
+    """500 rows of one vector pick its three smallest ids; with copies scattered over other rows nearly nothing is missed."""
+    rng = np.random.default_rng(9)
+    base = make(5)
+    m = np.concatenate([np.repeat(rng.normal(size=(1, base.shape[1])), 500, 0), base, base[rng.integers(0, len(base), 400)] * 2.0])
+    m = rng.permutation(m)
+    s = cosines(m)
+    np.fill_diagonal(s, -9)
+    want = {(i * 3 + 1, int(j) * 3 + 1) for i in range(len(m)) for j in np.lexsort((np.arange(len(m)), -s[i]))[:3] if s[i, j] >= 0.95}
+    got = {(r["id"], r["other"]) for r in neighbors.nearest_vectors(frame(spark, m), "od_id", "feature", 3, 0.95).collect()}
+    same = np.flatnonzero((s >= 1).sum(1) == 499)
+    first = [int(i) * 3 + 1 for i in same[:4]]
+    assert len(same) == 500 and all((int(i) * 3 + 1, f) in got for i in same for f in [x for x in first if x != int(i) * 3 + 1][:3])
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)

@@ -1,166 +1,136 @@
-"""Hierarchical navigable small-world graph in flat arrays, built and searched in batches with numpy.
+"""Hierarchical navigable small-world graph in flat arrays, built in bulk and searched in batches with numpy.
 
-Each level holds the numbers of its nodes and one array of neighbours, -1 where there is none. Nodes enter in batches no
-larger than what is already there; a batch searches the graph so far, sees its own members directly, keeps a diverse set
-of neighbours, and its neighbours link back, trimmed by the same rule.
+Each level holds the numbers of its nodes and one flat array of neighbours, -1 where there is none. Nodes of a level are
+compared block by block, which a shard's bounded size allows; each keeps a diverse set of its nearest ones (a candidate
+counts only if it is nearer to the node than to any kept one), the rest of its places go to the nearest others and to nodes that chose it.
+Many copies of one vector or many ties are no special case: a node has its places, whatever the others are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-
-class Level:
-    def __init__(self, capacity: int, total: int):
-        self.links = np.full((total, capacity), -1, np.int32)
+#: Nodes compared with all others of a level, and queries searched, at a time.
+BATCH = 512
 
 
 class HNSW:
-    """Cosine similarity of unit vectors; `m` links a node at upper levels, 2m at the lowest."""
+    """Cosine similarity of unit vectors; a node keeps `m` diverse neighbours of `near` candidates, and up to `m` that chose it."""
 
-    def __init__(self, v: np.ndarray, m: int = 12, width: int = 48, batch: int = 1024, seed: int = 0):
+    def __init__(self, v: np.ndarray, m: int = 12, near: int = 32, seed: int = 0):
         self.v = np.ascontiguousarray(v, np.float32)
         n = len(v)
-        self.m, self.width = m, width
         u = np.random.default_rng(seed).random(n)
-        self.level = np.minimum(np.floor(-np.log(np.maximum(u, 1e-12)) / np.log(m)).astype(int), 6)
-        self.order = np.lexsort((np.arange(n), -self.level)) if n else np.empty(0, int)
-        # nodes of high level first, so that upper levels are complete before the lowest is filled
-        self.levels = [Level(2 * m if k == 0 else m, n) for k in range(self.level.max() + 1 if n else 0)]
-        self.entry = self.order[:1].astype(np.int64)
-        at = min(n, 1)
-        while at < n:
-            size = min(batch, max(16, at), n - at)
-            self._insert(self.order[at : at + size])
-            at += size
-
-    def _insert(self, new: np.ndarray) -> None:
-        tops = self.level[new]
-        near = np.repeat(self.entry[None], len(new), 0)
-        for k in range(len(self.levels) - 1, -1, -1):
-            into = tops >= k
-            ids, sims = self.search_level(self.v[new], near, k, self.width if into.any() else 4)
-            if into.any():
-                q = new[into]
-                mates = self.v[q] @ self.v[q].T
-                np.fill_diagonal(mates, -2)
-                take = min(self.width // 2, len(q) - 1)
-                cand, cs = ids[into], sims[into]
-                if take > 0:
-                    part = np.argpartition(-mates, take - 1, axis=1)[:, :take]
-                    cand = np.concatenate([cand, q[part]], 1)
-                    cs = np.concatenate([cs, np.take_along_axis(mates, part, 1)], 1)
-                self._link(q, cand, cs, k)
-            near = ids[:, :4]
+        level = np.minimum(np.floor(-np.log(np.maximum(u, 1e-12)) / np.log(m)).astype(int), 6)
+        #: Nodes of each level, and their neighbours as node numbers, 2m each.
+        self.nodes = [np.flatnonzero(level >= k) for k in range(level.max() + 1 if n else 0)]
+        self.links = [self._level(nodes, m, near) for nodes in self.nodes]
+        self.row = [np.full(n + 1, -1, np.int64) for _ in self.nodes]
+        for row, nodes in zip(self.row, self.nodes):
+            row[nodes] = np.arange(len(nodes))
+        self.entry = self.nodes[-1][:1] if n else np.empty(0, np.int64)
 
-    def _diverse(self, node: np.ndarray, cand: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
-        """Of each row's candidates those nearer to the node than to any kept one, filled up with the nearest others."""
-        rows, width = cand.shape
-        order = np.argsort(-sims, 1, kind="stable")
-        cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
-        valid = (sims > -1.5) & (cand >= 0) & (cand != node[:, None])
-        by_id = np.argsort(cand, 1, kind="stable")  # a candidate seen twice counts once
-        ranked = np.take_along_axis(cand, by_id, 1)
-        twice = np.zeros_like(valid)
-        np.put_along_axis(twice, by_id[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
-        valid &= ~twice
-        vec = self.v[np.maximum(cand, 0)]
-        between = np.matmul(vec, vec.transpose(0, 2, 1))
-        kept = np.zeros((rows, width), bool)
-        closest = np.full((rows, width), -2.0, np.float32)  # to any kept candidate
-        number = np.zeros(rows, int)
-        for c in range(width):
-            good = valid[:, c] & (closest[:, c] < sims[:, c]) & (number < most)
-            kept[:, c] = good
-            number += good
-            closest = np.where(good[:, None], np.maximum(closest, between[:, c]), closest)
-        prefer = np.where(kept, 0, np.where(valid, 1, 2))
-        pick = np.argsort(prefer, 1, kind="stable")[:, :most]
-        out = np.where(np.take_along_axis(prefer, pick, 1) < 2, np.take_along_axis(cand, pick, 1), -1)
-        if out.shape[1] < most:
-            out = np.concatenate([out, np.full((rows, most - out.shape[1]), -1)], 1)
+    def _level(self, nodes: np.ndarray, m: int, near: int) -> np.ndarray:
+        v, n = self.v[nodes], len(nodes)
+        near = min(near, n - 1)
+        own, sims = np.full((n, m), -1, np.int64), np.full((n, m), -2, np.float32)
+        for i in range(0, n if near > 0 else 0, BATCH):
+            s = v[i : i + BATCH] @ v.T
+            rows = np.arange(len(s))
+            s[rows, rows + i] = -2
+            cand = np.argpartition(-s, near - 1, axis=1)[:, :near]
+            cs = np.take_along_axis(s, cand, 1)
+            by = np.argsort(-cs, 1, kind="stable")
+            cand, cs = np.take_along_axis(cand, by, 1), np.take_along_axis(cs, by, 1)
+            w = v[cand]
+            between = np.matmul(w, w.transpose(0, 2, 1))
+            kept, closest, number = np.zeros(cs.shape, bool), np.full(cs.shape, -2.0, np.float32), np.zeros(len(cs), int)
+            for c in range(near):
+                good = (closest[:, c] < cs[:, c]) & (number < m)
+                kept[:, c] = good
+                number += good
+                np.maximum(closest, np.where(good[:, None], between[:, c], np.float32(-2)), out=closest)
+            pick = np.argsort(~kept, 1, kind="stable")[:, :m]
+            own[i : i + BATCH, : pick.shape[1]] = np.take_along_axis(cand, pick, 1)
+            sims[i : i + BATCH, : pick.shape[1]] = np.take_along_axis(cs, pick, 1)
+        # both directions: a node's own choice first, then those that chose it, the nearest of them first
+        a, b, s = np.repeat(np.arange(n), m), own.reshape(-1), sims.reshape(-1)
+        a, b, s = a[b >= 0], b[b >= 0], s[b >= 0]
+        here = np.concatenate([a, b])
+        there = np.concatenate([b, a])
+        by = np.lexsort((there, -np.concatenate([s, s]), np.repeat([0, 1], len(a)), here))
+        # an edge chosen from both ends comes twice; the second time it is left out
+        key = here[by] * n + there[by]
+        first = np.zeros(len(by), bool)
+        first[np.unique(key, return_index=True)[1]] = True
+        here, there = here[by][first], there[by][first]
+        start = np.searchsorted(here, np.arange(n))
+        place = np.arange(len(here)) - start[here]
+        ok = place < 2 * m
+        out = np.full((n, 2 * m), -1, np.int64)
+        out[here[ok], place[ok]] = nodes[there[ok]]
         return out.astype(np.int32)
 
-    def _link(self, node: np.ndarray, cand: np.ndarray, sims: np.ndarray, k: int) -> None:
-        links = self.levels[k].links
-        most = links.shape[1]
-        chosen = self._diverse(node, cand, sims, self.m)
-        links[node, : self.m] = chosen[:, : self.m]
-        source = np.repeat(node, self.m)
-        target = chosen.reshape(-1).astype(np.int64)
-        source, target = source[target >= 0], target[target >= 0]
-        order = np.argsort(target, kind="stable")
-        source, target = source[order], target[order]
-        who, start, count = np.unique(target, return_index=True, return_counts=True)
-        place = np.arange(len(target)) - np.repeat(start, count)
-        for first in range(0, int(count.max()) if len(count) else 0, 64):  # 64 at a time; few nodes get more in one batch
-            left = np.flatnonzero(count > first)
-            extra = np.full((len(who), min(int(count.max()) - first, 64)), -1, np.int64)
-            ok = (place >= first) & (place < first + 64)
-            extra[np.repeat(np.arange(len(who)), count)[ok], place[ok] - first] = source[ok]
-            for i in range(0, len(left), 1024):
-                at = left[i : i + 1024]
-                w = who[at]
-                merged = np.concatenate([links[w], extra[at]], 1)
-                s = np.einsum("ijk,ik->ij", self.v[np.maximum(merged, 0)], self.v[w])
-                links[w] = self._diverse(w, merged, np.where(merged >= 0, s, -2), most)
-
-    def search_level(self, q: np.ndarray, near: np.ndarray, k: int, width: int, step: int = 3, enough: tuple[int, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The best `width` nodes found from the entries `near`, best first; -1 and -2 where there are fewer. With `enough`
-        = (count, least, floor) a query also ends once `count` nodes reach `least` and no open node reaches `floor`."""
-        links, n, rows = self.levels[k].links, len(self.v), len(q)
+    def _search_level(self, q: np.ndarray, near: np.ndarray, k: int, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best `width` nodes found from the entries `near`, best first; -1 and -2 where there are fewer. Each round
+        opens the best `step` nodes of a query that are not opened yet; a query ends when all it holds are opened."""
+        links, row, n, rows = self.links[k], self.row[k], len(self.v), len(q)
         seen = np.zeros((rows, n + 1), bool)
         seen[:, n] = True
         near = np.sort(near, 1)
-        near = np.where(np.concatenate([np.zeros((rows, 1), bool), near[:, 1:] == near[:, :-1]], 1), -1, near)
+        near = np.where(np.concatenate([np.zeros((rows, 1), bool), near[:, 1:] == near[:, :-1]], 1), -1, near)[:, :width]
         sims = np.where(near >= 0, np.einsum("ijk,ik->ij", self.v[np.maximum(near, 0)], q), np.float32(-2))
         np.put_along_axis(seen, np.where(near >= 0, near, n), True, 1)
-        ids, open_ = near, near >= 0
+        ids = np.full((rows, width), -1, np.int64)
+        best = np.full((rows, width), -2, np.float32)
+        opened = np.ones((rows, width), bool)
+        by = np.argsort(-sims, 1)
+        w = near.shape[1]
+        ids[:, :w], best[:, :w] = np.take_along_axis(near, by, 1), np.take_along_axis(sims, by, 1)
+        opened[:, :w] = ids[:, :w] < 0
         active = np.arange(rows)
-        beam_ids, beam_sims = np.full((rows, width), -1, np.int64), np.full((rows, width), -2, np.float32)
-        beam_open = np.zeros((rows, width), bool)
-        w = min(width, ids.shape[1])
-        o = np.argsort(-sims, 1)[:, :w]
-        beam_ids[:, :w], beam_sims[:, :w], beam_open[:, :w] = np.take_along_axis(ids, o, 1), np.take_along_axis(sims, o, 1), np.take_along_axis(open_, o, 1)
-        while len(active):
-            b_ids, b_sims, b_open = beam_ids[active], beam_sims[active], beam_open[active]
-            first = np.argsort(~b_open, 1, kind="stable")[:, :step]  # the beam is sorted, so these are the best unexpanded
-            live = np.take_along_axis(b_open, first, 1)
+        while True:
+            first = np.argsort(opened[active], 1, kind="stable")[:, :step]  # held nodes are sorted: the best unopened
+            live = ~np.take_along_axis(opened[active], first, 1)
             go = live.any(1)
-            if enough:
-                best_open = np.where(live, np.take_along_axis(b_sims, first, 1), np.float32(-2)).max(1)
-                go &= (best_open >= enough[2]) | (b_sims[:, min(enough[0], width) - 1] < enough[1])
-            if not go.all():
-                active, b_ids, b_sims, b_open, first, live = active[go], b_ids[go], b_sims[go], b_open[go], first[go], live[go]
-                if not len(active):
-                    break
-            node = np.where(live, np.take_along_axis(b_ids, first, 1), -1)
-            np.put_along_axis(b_open, first, False, 1)
-            nxt = np.where(node[:, :, None] >= 0, links[np.maximum(node, 0)], -1).reshape(len(active), -1).astype(np.int64)
-            nxt = np.where(nxt >= 0, nxt, n)
+            active, first, live = active[go], first[go], live[go]
+            if not len(active):
+                return ids, best
+            b_ids, b_best, b_open = ids[active], best[active], opened[active]
+            node = np.where(live, np.take_along_axis(b_ids, first, 1), n)
+            np.put_along_axis(b_open, first, True, 1)
+            nxt = links[row[node]].reshape(len(active), -1).astype(np.int64)
+            nxt[np.repeat(node == n, links.shape[1], 1) | (nxt < 0)] = n
             nxt.sort(1)
             fresh = ~seen[active[:, None], nxt]
             fresh[:, 1:] &= nxt[:, 1:] != nxt[:, :-1]
-            seen[active[:, None], nxt] = True
             r, c = np.nonzero(fresh)
-            s = np.full(nxt.shape, -2, np.float32)
-            s[r, c] = np.einsum("ij,ij->i", self.v[nxt[r, c]], q[active[r]])
-            all_sims = np.concatenate([b_sims, s], 1)
-            best = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(all_sims, best, 1), 1, kind="stable"), 1)
-            beam_ids[active] = np.take_along_axis(np.concatenate([b_ids, nxt], 1), best, 1)
-            beam_sims[active] = np.take_along_axis(all_sims, best, 1)
-            beam_open[active] = np.take_along_axis(np.concatenate([b_open, fresh], 1), best, 1) & (beam_sims[active] > -1.5)
-        return np.where(beam_sims > -1.5, beam_ids, -1), beam_sims
+            to = nxt[r, c]
+            seen[active[r], to] = True
+            s = np.einsum("ij,ij->i", self.v[to], q[active[r]])
+            hopeful = s > b_best[r, -1]  # others would not be held
+            r, to, s = r[hopeful], to[hopeful], s[hopeful]
+            most = int(np.bincount(r, minlength=1).max()) if len(r) else 0
+            if most:
+                at = np.arange(len(r)) - np.searchsorted(r, np.arange(len(active)))[r]
+                more, more_s = np.full((len(active), most), -1, np.int64), np.full((len(active), most), -2, np.float32)
+                more[r, at], more_s[r, at] = to, s
+                all_s = np.concatenate([b_best, more_s], 1)
+                by = np.argsort(-all_s, 1, kind="stable")[:, :width]
+                b_ids = np.take_along_axis(np.concatenate([b_ids, more], 1), by, 1)
+                b_best = np.take_along_axis(all_s, by, 1)
+                b_open = np.take_along_axis(np.concatenate([b_open, more < 0], 1), by, 1)
+            ids[active], best[active], opened[active] = b_ids, b_best, b_open
 
-    def search(self, q: np.ndarray, width: int, batch: int = 1024, enough: tuple[int, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, cosines) of the `width` best found for each query."""
+    def search(self, q: np.ndarray, width: int, start: np.ndarray | None = None, step: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cosines) of the `width` best found for each query, best first; -1 and -2 where there are fewer. `start` is a node to begin at
+        for each query; without it the search comes down through the levels."""
         q = np.ascontiguousarray(q, np.float32)
         ids, sims = np.full((len(q), width), -1, np.int64), np.full((len(q), width), -2, np.float32)
-        for i in range(0, len(q) if len(self.v) else 0, batch):
-            part = q[i : i + batch]
-            near = np.repeat(self.entry[None], len(part), 0)
-            for k in range(len(self.levels) - 1, 0, -1):
-                near = self.search_level(part, near, k, 4)[0]
-            ids[i : i + batch], sims[i : i + batch] = self.search_level(part, near, 0, width, enough=enough)
+        for i in range(0, len(q) if len(self.v) else 0, BATCH):
+            part = q[i : i + BATCH]
+            near = np.repeat(self.entry[None], len(part), 0) if start is None else start[i : i + BATCH, None]
+            for k in range(len(self.nodes) - 1, 0, -1) if start is None else ():
+                near = self._search_level(part, near, k, 4, 2)[0]
+            ids[i : i + BATCH], sims[i : i + BATCH] = self._search_level(part, near, 0, width, step)
         return ids, sims
