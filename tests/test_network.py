@@ -145,3 +145,40 @@ def test_accessibility_counts_listed_destinations_only(spark):
     od = spark.createDataFrame([(0, 1), (0, 2), (4, 1)], "orig long, des long")
     pot = spark.createDataFrame([(1, 10), (2, 20), (3, 40)], "node long, population long")
     assert sorted(map(tuple, access.accessibility(far, od, pot, 15).collect())) == [(0, 10), (4, 0)]
+
+
+def test_long_chains_and_loops(spark):
+    """A chain of 5,000 edges comes out whole; a loop without a stop raises only where a stop leads into it."""
+    rows = [(i, i + 1, 2, 1 + (i == 4321)) for i in range(5000)] + [(9001, 9002, 1, 1), (9002, 9003, 1, 1), (9003, 9001, 1, 1)]
+    schema = "src long, dst long, length long, lts long"
+    stops = spark.createDataFrame([(0,), (5000,), (5000,)], "node long")
+    assert list(map(tuple, graph.contract_chains(spark.createDataFrame(rows, schema), stops).collect())) == [(0, 5000, 10000, 2)]
+    into = spark.createDataFrame([(1, 2, 1, 1), (2, 3, 1, 1), (3, 4, 1, 1), (4, 2, 1, 1)], schema)
+    with pytest.raises(ValueError):
+        graph.contract_chains(into, spark.createDataFrame([(1,)], "node long"))
+    two = spark.createDataFrame([(1, 2, 1, 1), (2, 3, 1, 1), (2, 4, 1, 1)], schema)
+    with pytest.raises(ValueError):
+        graph.contract_chains(two, spark.createDataFrame([(1,), (3,), (4,)], "node long"))
+    assert graph.contract_chains(spark.createDataFrame([], schema), stops).collect() == []
+
+
+def test_designs_and_paths_by_joins(spark, net, monkeypatch):
+    """Beyond MOST_EDGES designs and paths come out the same, not refused."""
+    edges, df = net
+    random.seed(3)
+    proj = [(p, s, t, 1.0 + p % 3) for p in range(5) for s, t in [random.sample(range(16), 2)]]
+    pe = spark.createDataFrame(proj, "proj long, src long, dst long, time double")
+    runs = spark.createDataFrame([(s, o, y) for s, y in enumerate(([], [0, 2], [1, 3, 4], [0, 1, 2, 3, 4], [77], None)) for o in (0, 3, 99)], "scen long, orig long, open array<int>")
+    origins = spark.createDataFrame([(0,), (5,), (99,)], "orig long")
+    far = lambda: sorted(map(tuple, graph.reach_of_designs(runs, df, pe, 8).collect()))
+    ways = lambda: sorted((r["orig"], r["node"], r["dist"], tuple(r["path"])) for r in graph.shortest_paths(origins, df, 8).collect())
+    small = far(), ways()
+    monkeypatch.setattr(graph, "MOST_EDGES", 3)
+    assert (far(), ways()) == small and len(small[0]) > 40
+    for scen, y in ((1, [0, 2]), (3, [0, 1, 2, 3, 4])):
+        opened = {}
+        for p, s, t, c in proj:
+            if p in y:
+                opened[s, t] = min(c, opened.get((s, t), c))
+        own = [(s, t, c) for s, t, c in edges if (s, t) not in opened] + [(s, t, c) for (s, t), c in opened.items()]
+        assert [x for x in small[0] if x[0] == scen and x[1] == 3] == sorted((scen, 3, n, d) for n, d in dijkstra(own, 3, 8).items())

@@ -4,58 +4,99 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.session import checkpointed
 
-#: Edges up to which a network is sent to every task; a larger one is searched by joins.
+#: Edges up to which a network is sent to every task as arrays; a larger one is searched by joins, with the same results.
 MOST_EDGES = 2_000_000
-
-
-def _adjacency(rows) -> dict[int, dict[int, float]]:
-    out: dict[int, dict[int, float]] = {}
-    for src, dst, cost in rows:
-        to = out.setdefault(src, {})
-        to[dst] = min(cost, to.get(dst, cost))
-    return out
-
-
-def _labels(adjacency: dict[int, dict[int, float]], origin: int, cutoff: float) -> dict[int, float]:
-    done: dict[int, float] = {}
-    heap = [(0.0, origin)]
-    while heap:
-        d, node = heapq.heappop(heap)
-        if node in done:
-            continue
-        done[node] = d
-        for to, cost in adjacency.get(node, {}).items():
-            if d + cost <= cutoff and to not in done:
-                heapq.heappush(heap, (d + cost, to))
-    return done
-
-
-def _paths(adjacency: dict[int, dict[int, float]], origin: int, cutoff: float) -> dict[int, tuple[float, tuple[int, ...]]]:
-    done: dict[int, tuple[float, tuple[int, ...]]] = {}
-    heap = [(0.0, (origin,))]
-    while heap:
-        d, path = heapq.heappop(heap)
-        node = path[-1]
-        if node in done:
-            continue
-        done[node] = (d, path)
-        for to, cost in adjacency.get(node, {}).items():
-            if d + cost <= cutoff and to not in done:
-                heapq.heappush(heap, (d + cost, (*path, to)))
-    return done
-
-
-def small_edges(edges: DataFrame, *more: str) -> list[tuple] | None:
-    """The edges, if they are few enough to be sent to every task."""
-    rows = edges.select("src", "dst", F.col("time").cast("double"), *more).limit(MOST_EDGES + 1).collect()
-    return None if len(rows) > MOST_EDGES else [tuple(r) for r in rows]
+#: Searches relaxed together in a task.
+TOGETHER = 256
+
+
+@dataclass
+class Arrays:
+    """A network as flat arrays: nodes in ascending order, edges sorted by their start, `at` where each node's begin."""
+
+    nodes: np.ndarray
+    at: np.ndarray
+    to: np.ndarray
+    time: np.ndarray
+    proj: np.ndarray | None = None
+
+    @staticmethod
+    def of(src, dst, time, proj=None, nodes=None) -> Arrays:
+        nodes = np.unique(np.concatenate([src, dst])) if nodes is None else nodes
+        i, j = np.searchsorted(nodes, src), np.searchsorted(nodes, dst)
+        by = np.lexsort((j, i))
+        at = np.searchsorted(i[by], np.arange(len(nodes) + 1))
+        return Arrays(nodes, at, j[by], time[by], None if proj is None else proj[by])
+
+
+def small_edges(edges: DataFrame, *more: str) -> list[np.ndarray] | None:
+    """The columns src, dst, time and `more` as arrays, if there are few enough edges to be sent to every task."""
+    t = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("time").cast("double"), *[F.col(m).cast("long") for m in more]).limit(MOST_EDGES + 1).toArrow()
+    return None if t.num_rows > MOST_EDGES else [t.column(i).to_numpy() for i in range(t.num_columns)]
+
+
+def _least(keys: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, ascending, with its least distance."""
+    by = np.lexsort((dist, keys))
+    keys, dist = keys[by], dist[by]
+    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    return keys[first], dist[first]
+
+
+def relax(start: np.ndarray, n: int, expand, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """(key, distance) of all keys search * n + node within `cutoff`: `start` holds the keys at distance 0, `expand` gives
+    the keys and times one step on from keys and their positions. All searches advance together, a round an edge."""
+    best, far = _least(start, np.zeros(len(start)))
+    front, front_far = best, far
+    while len(front):
+        keys, steps, source = expand(front)
+        dist = front_far[source] + steps
+        ok = dist <= cutoff
+        keys, dist = _least(keys[ok], dist[ok])
+        at = np.searchsorted(best, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(best)
+        known[inside] = best[at[inside]] == keys[inside]
+        better = ~known
+        better[known] = dist[known] < far[at[known]]
+        far[at[known & better]] = dist[known & better]
+        front, front_far = keys[better], dist[better]
+        fresh = ~known
+        if fresh.any():
+            best, far = np.insert(best, at[fresh], keys[fresh]), np.insert(far, at[fresh], dist[fresh])
+    return best, far
+
+
+def _ranges(at: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edge numbers out of each node, and which node of the list each comes from."""
+    count = at[node + 1] - at[node]
+    source = np.repeat(np.arange(len(node)), count)
+    return np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count) + at[node][source], source
+
+
+def _from_origins(net: Arrays, origins: np.ndarray, cutoff: float):
+    """(position of origin, node, distance) for origins in any order; those outside the network reach themselves."""
+    at = np.searchsorted(net.nodes, origins)
+    known = np.zeros(len(origins), bool)
+    known[at < len(net.nodes)] = net.nodes[at[at < len(net.nodes)]] == origins[at < len(net.nodes)]
+    n = len(net.nodes)
+
+    def expand(front):
+        e, source = _ranges(net.at, front % n)
+        return (front // n)[source] * n + net.to[e], net.time[e], source
+
+    keys, far = relax(np.flatnonzero(known) * n + at[known], n, expand, cutoff) if n else (np.empty(0, np.int64), np.empty(0))
+    alone = np.flatnonzero(~known)
+    return np.concatenate([keys // n if n else keys, alone]), np.concatenate([net.nodes[keys % n] if n else keys, origins[alone]]), np.concatenate([far, np.zeros(len(alone))])
 
 
 def reach(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
@@ -67,17 +108,15 @@ def reach(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
     rows = small_edges(edges)
     if rows is None:
         return reach_by_joins(origins, edges, cutoff)
+    shared = edges.sparkSession.sparkContext.broadcast(Arrays.of(*rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        adjacency = _adjacency(rows)
+        net = shared.value
         for b in batches:
-            orig, node, dist = [], [], []
-            for o in b.column(0).to_pylist():
-                found = _labels(adjacency, o, cutoff)
-                orig += [o] * len(found)
-                node += found.keys()
-                dist += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(orig, pa.int64()), pa.array(node, pa.int64()), pa.array(dist, pa.float64())], names=["orig", "node", "dist"])
+            for i in range(0, b.num_rows, TOGETHER):
+                some = b.column(0).slice(i, TOGETHER).to_numpy()
+                which, node, far = _from_origins(net, some, cutoff)
+                yield pa.RecordBatch.from_arrays([pa.array(some[which]), pa.array(node), pa.array(far)], names=["orig", "node", "dist"])
 
     return origins.select(F.col("orig").cast("long")).filter("orig is not null").distinct().mapInArrow(run, "orig long, node long, dist double")
 
@@ -85,27 +124,59 @@ def reach(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
 def reach_by_joins(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
     """The same by relaxation of a frontier: each round one join on the node and one minimum per (origin, node)."""
     e = checkpointed(edges.groupBy("src", "dst").agg(F.min("time").cast("double").alias("time")))
-    best = checkpointed(origins.select(F.col("orig").cast("long")).filter("orig is not null").distinct().select("orig", F.col("orig").alias("node"), F.lit(0.0).alias("dist")))
-    frontier = best
+    start = origins.select(F.col("orig").cast("long")).filter("orig is not null").distinct().select("orig", F.col("orig").alias("node"), F.lit(0.0).alias("dist"))
+
+    def step(frontier: DataFrame) -> DataFrame:
+        return frontier.join(e, frontier.node == e.src).select("orig", F.col("dst").alias("node"), (F.col("dist") + F.col("time")).alias("dist")).filter(F.col("dist") <= cutoff)
+
+    return _rounds(start, step, ["orig", "node"], "dist")
+
+
+def _rounds(start: DataFrame, step, keys: list[str], value: str) -> DataFrame:
+    """Rounds of a search: what `step` makes of the rows that improved last, until none does; the least `value` of each key."""
+    best = frontier = checkpointed(start)
     while True:
-        step = frontier.join(e, frontier.node == e.src).select("orig", F.col("dst").alias("node"), (F.col("dist") + F.col("time")).alias("dist"))
-        step = step.filter(F.col("dist") <= cutoff).groupBy("orig", "node").agg(F.min("dist").alias("dist"))
-        old = best.withColumnRenamed("dist", "old")
-        frontier = checkpointed(step.join(old, ["orig", "node"], "left").filter("old is null or dist < old").select("orig", "node", "dist"))
+        new = step(frontier).groupBy(*keys).agg(F.min(value).alias(value))
+        old = best.withColumnRenamed(value, "__old")
+        frontier = checkpointed(new.join(old, keys, "left").filter(F.col("__old").isNull() | (F.col(value) < F.col("__old"))).select(*keys, value))
         if frontier.isEmpty():
             return best
-        best = checkpointed(best.unionByName(frontier).groupBy("orig", "node").agg(F.min("dist").alias("dist")))
+        best = checkpointed(best.unionByName(frontier).groupBy(*keys).agg(F.min(value).alias(value)))
+
+
+def _paths(adjacency: dict[int, dict[int, float]], origin: int, cutoff: float) -> dict[int, tuple[float, tuple[int, ...]]]:
+    done: dict[int, tuple[float, tuple[int, ...]]] = {}
+    heap = [(0.0, (origin,))]
+    while heap:
+        d, path = heapq.heappop(heap)
+        node = path[-1]
+        if node in done:
+            continue
+        done[node] = (d, path)
+        for to, cost in adjacency.get(node, {}).items():
+            if d + cost <= cutoff and to not in done:
+                heapq.heappush(heap, (d + cost, (*path, to)))
+    return done
+
+
+def _adjacency(rows) -> dict[int, dict[int, float]]:
+    out: dict[int, dict[int, float]] = {}
+    for src, dst, cost in zip(*(r.tolist() for r in rows)):
+        to = out.setdefault(src, {})
+        to[dst] = min(cost, to.get(dst, cost))
+    return out
 
 
 def shortest_paths(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
     """(orig, node, dist, path): as `reach`, with the nodes of the path; of equally short ones the least in order of
-    nodes. Networks above MOST_EDGES are refused."""
+    nodes. Networks above MOST_EDGES are searched by joins."""
     rows = small_edges(edges)
     if rows is None:
-        raise ValueError(f"paths need a network of at most {MOST_EDGES} edges")
+        return shortest_paths_by_joins(origins, edges, cutoff)
+    shared = edges.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        adjacency = _adjacency(rows)
+        adjacency = _adjacency(shared.value)
         for b in batches:
             out = [(o, n, d, list(p)) for o in b.column(0).to_pylist() for n, (d, p) in _paths(adjacency, o, cutoff).items()]
             cols = zip(*out) if out else ([], [], [], [])
@@ -114,38 +185,107 @@ def shortest_paths(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataF
     return origins.select(F.col("orig").cast("long")).filter("orig is not null").distinct().mapInArrow(run, "orig long, node long, dist double, path array<long>")
 
 
+def shortest_paths_by_joins(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
+    """The same by rounds of joins: the least (distance, path) of each origin and node."""
+    e = checkpointed(edges.groupBy("src", "dst").agg(F.min("time").cast("double").alias("time")))
+    way = F.struct(F.lit(0.0).alias("dist"), F.array("orig").alias("path"))
+    start = origins.select(F.col("orig").cast("long")).filter("orig is not null").distinct().select("orig", F.col("orig").alias("node"), way.alias("way"))
+
+    def step(frontier: DataFrame) -> DataFrame:
+        on = frontier.join(e, frontier.node == e.src).filter(F.col("way.dist") + F.col("time") <= cutoff)
+        longer = F.struct((F.col("way.dist") + F.col("time")).alias("dist"), F.concat("way.path", F.array(F.col("dst").cast("long"))).alias("path"))
+        return on.select("orig", F.col("dst").cast("long").alias("node"), longer.alias("way"))
+
+    return _rounds(start, step, ["orig", "node"], "way").select("orig", "node", "way.dist", "way.path")
+
+
+class Overlay:
+    """A base network under designs: an open project's edges are there, and replace base edges between the same nodes."""
+
+    def __init__(self, base: list[np.ndarray], extra: list[np.ndarray]):
+        nodes = np.unique(np.concatenate([base[0], base[1], extra[0], extra[1]]))
+        self.base = Arrays.of(*base, nodes=nodes)
+        self.extra = Arrays.of(*extra, nodes=nodes)
+        self.projects = np.unique(extra[3])
+        n = len(nodes)
+        ends = lambda a: np.repeat(np.arange(n), np.diff(a.at)) * n + a.to
+        over = ends(self.extra)
+        self.pairs, self.pair_of = np.unique(over, return_inverse=True)
+        mine = ends(self.base)
+        at = np.searchsorted(self.pairs, mine)
+        hit = np.zeros(len(mine), bool)
+        hit[at < len(self.pairs)] = self.pairs[at[at < len(self.pairs)]] == mine[at < len(self.pairs)]
+        self.replaced = np.where(hit, at, -1)  # the pair of ends of each base edge that a project may replace
+
+    def search(self, origins: np.ndarray, opened: np.ndarray, cutoff: float):
+        """(position of run, node, distance); `opened` has a row for each run and a column for each of `projects`."""
+        n, proj = len(self.base.nodes), np.searchsorted(self.projects, self.extra.proj)
+        gone = np.zeros((len(origins), max(1, len(self.pairs))), bool)
+        for e, p in enumerate(proj):
+            gone[:, self.pair_of[e]] |= opened[:, p]
+        at = np.searchsorted(self.base.nodes, origins)
+        known = np.zeros(len(origins), bool)
+        known[at < n] = self.base.nodes[at[at < n]] == origins[at < n]
+
+        def expand(front):
+            run, node = front // n, front % n
+            e, source = _ranges(self.base.at, node)
+            there = ~((self.replaced[e] >= 0) & gone[run[source], np.maximum(self.replaced[e], 0)])
+            x, xs = _ranges(self.extra.at, node)
+            now = opened[run[xs], proj[x]]
+            e, source, x, xs = e[there], source[there], x[now], xs[now]
+            keys = np.concatenate([run[source] * n + self.base.to[e], run[xs] * n + self.extra.to[x]])
+            return keys, np.concatenate([self.base.time[e], self.extra.time[x]]), np.concatenate([source, xs])
+
+        keys, far = relax(np.flatnonzero(known) * n + at[known], n, expand, cutoff)
+        alone = np.flatnonzero(~known)
+        return np.concatenate([keys // n, alone]), np.concatenate([self.base.nodes[keys % n], origins[alone]]), np.concatenate([far, np.zeros(len(alone))])
+
+
 def reach_of_designs(runs: DataFrame, base: DataFrame | list, project_edges: DataFrame | list, cutoff: float) -> DataFrame:
     """(scen, orig, node, dist) for runs of (scen, orig, open array of projects): the base network with the edges of the
-    open projects put in, replacing edges between the same nodes. Each run is independent of the others. Edges may be given as `small_edges` returned them, for repeated use."""
+    open projects put in, replacing edges between the same nodes; of several open projects with one edge the fastest counts.
+    Each run is independent of the others. Edges may be given as `small_edges` returned them, for repeated use. Beyond MOST_EDGES the search goes by joins."""
     fixed = base if isinstance(base, list) else small_edges(base)
     extra = project_edges if isinstance(project_edges, list) else small_edges(project_edges, "proj")
     if fixed is None or extra is None:
-        raise ValueError(f"designs need a network of at most {MOST_EDGES} edges")
+        return reach_of_designs_by_joins(runs, base, project_edges, cutoff)
+    shared = runs.sparkSession.sparkContext.broadcast((fixed, extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        adjacency = _adjacency(fixed)
-        of: dict[int, list] = {}
-        for s, d, c, p in sorted(extra, key=lambda r: (r[3], r[0], r[1])):
-            of.setdefault(p, []).append((s, d, c))
-        last_open, current = None, adjacency
+        net = Overlay(*shared.value)
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for scen, orig, opened in zip(*(b.column(i).to_pylist() for i in range(3))):
-                opened = tuple(sorted(opened or ()))
-                if opened != last_open:
-                    current = {s: dict(to) for s, to in adjacency.items()}
-                    for p in opened:
-                        for s, d, c in of.get(p, ()):
-                            current.setdefault(s, {})[d] = c
-                    last_open = opened
-                found = _labels(current, orig, cutoff)
-                out[0] += [scen] * len(found)
-                out[1] += [orig] * len(found)
-                out[2] += found.keys()
-                out[3] += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["scen", "orig", "node", "dist"])
-
-    return runs.select(F.col("scen").cast("long"), F.col("orig").cast("long"), "open").mapInArrow(run, "scen long, orig long, node long, dist double")
+            for i in range(0, b.num_rows, TOGETHER):
+                part = b.slice(i, TOGETHER)
+                scen, orig = part.column(0).to_numpy(), part.column(1).to_numpy()
+                sets = part.column(2).fill_null(pa.scalar([], part.column(2).type)) if part.column(2).null_count else part.column(2)
+                opened = np.zeros((len(scen), max(1, len(net.projects))), bool)
+                which, p = np.repeat(np.arange(len(scen)), pa.compute.list_value_length(sets).to_numpy()), pa.compute.list_flatten(sets).to_numpy(zero_copy_only=False)
+                col = np.searchsorted(net.projects, p)
+                ok = (col < len(net.projects)) & (net.projects[np.minimum(col, max(0, len(net.projects) - 1))] == p) if len(net.projects) else np.zeros(len(p), bool)
+                opened[which[ok], col[ok]] = True
+                r, node, far = net.search(orig, opened, cutoff)
+                yield pa.RecordBatch.from_arrays([pa.array(scen[r]), pa.array(orig[r]), pa.array(node), pa.array(far)], names=["scen", "orig", "node", "dist"])
+
+    return runs.select(F.col("scen").cast("long"), F.col("orig").cast("long"), F.col("open").cast("array<long>")).mapInArrow(run, "scen long, orig long, node long, dist double")
+
+
+def reach_of_designs_by_joins(runs: DataFrame, base: DataFrame, project_edges: DataFrame, cutoff: float) -> DataFrame:
+    """The same for networks of any size: a round is a join with the base network less what the design replaces, and one
+    with the design's own edges."""
+    runs = checkpointed(runs.select(F.col("scen").cast("long"), F.col("orig").cast("long"), F.col("open").cast("array<long>")))
+    fixed = checkpointed(base.groupBy("src", "dst").agg(F.min("time").cast("double").alias("time")))
+    chosen = runs.select("scen", F.explode("open").alias("proj")).distinct().join(project_edges, "proj")
+    own = checkpointed(chosen.groupBy("scen", "src", "dst").agg(F.min("time").cast("double").alias("time")))
+    start = runs.select("scen", "orig", F.col("orig").alias("node"), F.lit(0.0).alias("dist")).distinct()
+
+    def step(frontier: DataFrame) -> DataFrame:
+        f = frontier.withColumnRenamed("node", "src")
+        kept = f.join(fixed, "src").join(own.select("scen", "src", "dst"), ["scen", "src", "dst"], "left_anti")
+        both = kept.select("scen", "orig", "dst", "dist", "time").unionByName(f.join(own, ["scen", "src"]).select("scen", "orig", "dst", "dist", "time"))
+        return both.select("scen", "orig", F.col("dst").alias("node"), (F.col("dist") + F.col("time")).alias("dist")).filter(F.col("dist") <= cutoff)
+
+    return _rounds(start, step, ["scen", "orig", "node"], "dist")
 
 
 def augment(base: DataFrame, added: DataFrame) -> DataFrame:
@@ -185,31 +325,51 @@ def relevant_nodes(forward: DataFrame, backward: DataFrame, pairs: DataFrame, cu
     return pairs.select("orig", "des").join(f, "orig").join(b, ["des", "node"]).filter(F.col("ahead") + F.col("behind") <= cutoff).select("orig", "des", "node")
 
 
-def contract_chains(edges: DataFrame, stops: DataFrame, most_hops: int = 1000) -> DataFrame:
+def with_neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(orig, des, node): the nodes of each pair and all their neighbours, whatever the direction of edges."""
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
+    return nodes.unionByName(nodes.join(ends, "node").select("orig", "des", F.col("other").alias("node"))).distinct()
+
+
+def subgraphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(orig, des, src, dst, time): the edges between the nodes of each pair."""
+    inside = nodes.withColumnRenamed("node", "src").join(edges.select("src", "dst", "time"), "src")
+    return inside.join(nodes.withColumnRenamed("node", "dst"), ["orig", "des", "dst"], "left_semi").select("orig", "des", "src", "dst", "time")
+
+
+def contract_chains(edges: DataFrame, stops: DataFrame) -> DataFrame:
     """(src, dst, length, lts): edges between stopping nodes, nodes passed in between merged; length adds up, lts is the
-    greatest. `edges` has src, dst, length, lts; a node that is no stop must have one onward neighbour besides the one
-    come from. A chain that ends without a stop gives no edge; one that branches raises. Each round lengthens
-    all open chains by one edge, so there are as many rounds as the longest chain has edges; loops without a stop end
-    never and are cut off at `most_hops`.
+    greatest. `edges` has src, dst, length, lts; of parallel edges the shortest counts. A node that is no stop must have
+    one onward neighbour at most besides the one come from, or an error is raised. A chain that ends without a stop gives
+    no edge; one that runs into a loop without a stop raises.
+
+    Pointer doubling: every edge that does not end at a stop is joined to the stretch that follows it, which doubles in
+    each round, so a chain of n edges takes log2(n) rounds.
     """
-    stop = stops.select(F.col("node").alias("dst"))
-    first = checkpointed(edges.select("src", "dst", F.col("src").alias("prev"), "length", "lts"))
-    branch = first.join(stop.withColumnRenamed("dst", "src"), "src", "left_anti").alias("a")
-    onward = branch.groupBy("src").agg(F.countDistinct("dst").alias("n"))
-    if not onward.filter("n > 2").isEmpty():
-        raise ValueError("a node that is no stop branches")
-    chains = first.join(stop.withColumnRenamed("dst", "src"), "src", "left_semi").select("src", "dst", F.col("src").alias("prev"), "length", "lts", F.lit(1).alias("hops"))
-    done = None
-    while True:
-        ended = chains.join(stop, "dst", "left_semi")
-        done = checkpointed(ended if done is None else done.unionByName(ended.select(done.columns)))
-        open_ = chains.join(stop, "dst", "left_anti")
-        nxt = first.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("length").alias("more"), F.col("lts").alias("next_lts"))
-        step = open_.join(nxt, open_.dst == nxt["at"]).filter("to != prev")
-        chains = checkpointed(step.select("src", F.col("to").alias("dst"), F.col("at").alias("prev"), (F.col("length") + F.col("more")).alias("length"), F.greatest("lts", "next_lts").alias("lts"), (F.col("hops") + 1).alias("hops")))
-        most_hops -= 1
-        if not most_hops or chains.isEmpty():
-            return done.select("src", "dst", "length", "lts")
+    e = edges.groupBy("src", "dst").agg(F.min(F.struct("length", "lts")).alias("r")).select("src", "dst", F.col("src").alias("prev"), "r.length", "r.lts")
+    stop = checkpointed(stops.select(F.col("node").alias("dst")).distinct())
+    ended = F.broadcast(stop.withColumn("__stop", F.lit(True))) if stop.limit(1_000_001).count() <= 1_000_000 else stop.withColumn("__stop", F.lit(True))
+    # a stretch: first edge (src, first), last edge (prev, dst), whether it ends at a stop
+    stretch = e.join(ended, "dst", "left").select("src", F.col("dst").alias("first"), "prev", "dst", "length", "lts", F.coalesce("__stop", F.lit(False)).alias("done"))
+    stretch = checkpointed(stretch)
+    from_stop = stop.withColumnRenamed("dst", "src")
+    rounds = max(1, stretch.count()).bit_length() + 1
+    for n in range(rounds + 1):
+        open_ = stretch.filter(~F.col("done"))
+        if open_.isEmpty():
+            break
+        if n == rounds:
+            if not open_.join(from_stop, "src", "left_semi").isEmpty():
+                raise ValueError("a chain from a stop runs into a loop without one")
+            break
+        nxt = stretch.select(F.col("src").alias("dst"), F.col("first").alias("n_first"), F.col("prev").alias("n_prev"), F.col("dst").alias("n_dst"), F.col("length").alias("n_length"), F.col("lts").alias("n_lts"), F.col("done").alias("n_done"))
+        on = open_.join(nxt, "dst").filter("n_first <> prev")  # not straight back; an open stretch without a sequel is dropped
+        step = on.select("src", "first", F.col("n_prev").alias("prev"), F.col("n_dst").alias("dst"), (F.col("length") + F.col("n_length")).alias("length"), F.greatest("lts", "n_lts").alias("lts"), F.col("n_done").alias("done"))
+        step = checkpointed(step)
+        if n == 0 and not step.groupBy("src", "first").count().filter("count > 1").isEmpty():
+            raise ValueError("a node that is no stop branches")
+        stretch = checkpointed(stretch.filter("done").unionByName(step))
+    return stretch.filter("done").join(from_stop, "src", "left_semi").select("src", "dst", "length", "lts")
 
 
 def edge_lookup(steps: DataFrame, records: DataFrame) -> DataFrame:

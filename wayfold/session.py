@@ -57,11 +57,14 @@ def shipped(query):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the session; only where it names none, one of our own (tests)."""
+    """Use the shared folder named by the session; only a local session that names none gets one of our own (tests).
+    A cluster must name one, as a folder of one machine is no use to the others."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"wayfold-checkpoints-{os.getuid()}"))
 
 
