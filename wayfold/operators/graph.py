@@ -99,16 +99,17 @@ def _from_origins(net: Arrays, origins: np.ndarray, cutoff: float):
     return np.concatenate([keys // n if n else keys, alone]), np.concatenate([net.nodes[keys % n] if n else keys, origins[alone]]), np.concatenate([far, np.zeros(len(alone))])
 
 
-def reach(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
+def reach(origins: DataFrame, edges: DataFrame | list, cutoff: float) -> DataFrame:
     """(orig, node, dist) of all nodes at a distance of at most `cutoff`, the origin at 0 included.
 
     Times must be positive; of parallel edges the fastest counts. Origins are worked off in parallel against the network
     in memory while it has MOST_EDGES edges or fewer, and by joins beyond. Null and repeated origins count once or not.
+    Edges may be given as `small_edges` returned them.
     """
-    rows = small_edges(edges)
+    rows = edges if isinstance(edges, list) else small_edges(edges)
     if rows is None:
         return reach_by_joins(origins, edges, cutoff)
-    shared = edges.sparkSession.sparkContext.broadcast(Arrays.of(*rows))
+    shared = origins.sparkSession.sparkContext.broadcast(Arrays.of(*rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -199,6 +200,14 @@ def shortest_paths_by_joins(origins: DataFrame, edges: DataFrame, cutoff: float)
     return _rounds(start, step, ["orig", "node"], "way").select("orig", "node", "way.dist", "way.path")
 
 
+def opened_edges(base: list[np.ndarray], extra: list[np.ndarray], opened: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Base and project edges once the opened projects are part of the base network."""
+    now = np.isin(extra[3], opened)
+    ends = {*zip(extra[0][now].tolist(), extra[1][now].tolist())}
+    kept = np.array([e not in ends for e in zip(base[0].tolist(), base[1].tolist())], bool)
+    return [np.concatenate([b[kept], e[now]]) for b, e in zip(base, extra)], [e[~now] for e in extra]
+
+
 class Overlay:
     """A base network under designs: an open project's edges are there, and replace base edges between the same nodes."""
 

@@ -114,13 +114,28 @@ def greedy_design_ratio(spark, sf):
     return design.greedy(problem(spark, sf), 30, per_cost=True)
 
 
-ENUM_SQL = """
-pack AS (SELECT proj % 8 AS proj, src, dst, time FROM project_edges), cost AS (SELECT proj, CAST(sum(time) AS BIGINT) AS cost FROM pack GROUP BY proj),
-sets AS (SELECT b AS scen, coalesce(sum(CASE WHEN (b >> proj) & 1 = 1 THEN cost END), 0) AS cost FROM (SELECT unnest(range(0, 256)) AS b), cost GROUP BY b HAVING coalesce(sum(CASE WHEN (b >> proj) & 1 = 1 THEN cost END), 0) <= 100),
+def enum_sql(packages: int, budget: float, cutoff: int = TIME_LIMIT, worth: str = "1", factor: str = "1", charge: float = 0.0) -> str:
+    """All affordable sets of packages with their scores."""
+    return f"""
+pack AS (SELECT proj % {packages} AS proj, src, dst, time FROM project_edges), cost AS (SELECT proj, CAST(sum(time) AS BIGINT) AS cost FROM pack GROUP BY proj),
+sets AS (SELECT b AS scen, coalesce(sum(CASE WHEN (b >> proj) & 1 = 1 THEN cost END), 0) AS cost FROM (SELECT unnest(range(0, {2**packages})) AS b), cost GROUP BY b HAVING coalesce(sum(CASE WHEN (b >> proj) & 1 = 1 THEN cost END), 0) <= {budget}),
 se AS (SELECT s.scen, c.src, c.dst, c.time FROM sets s, cur c UNION ALL SELECT s.scen, p.src, p.dst, p.time FROM sets s JOIN pack p ON (s.scen >> p.proj) & 1 = 1),
-en_r AS (SELECT s.scen, n.id AS orig, n.id AS node, CAST(0 AS BIGINT) AS dist FROM sets s, nodes n UNION SELECT r.scen, r.orig, e.dst, r.dist + e.time FROM en_r r JOIN se e ON e.scen = r.scen AND e.src = r.node WHERE r.dist + e.time <= 15),
+en_r AS (SELECT s.scen, n.id AS orig, n.id AS node, CAST(0 AS BIGINT) AS dist FROM sets s, nodes n UNION SELECT r.scen, r.orig, e.dst, r.dist + e.time FROM en_r r JOIN se e ON e.scen = r.scen AND e.src = r.node WHERE r.dist + e.time <= {cutoff}),
 en AS (SELECT scen, orig, node, min(dist) AS dist FROM en_r GROUP BY scen, orig, node),
-score AS (SELECT en.scen, CAST(sum(p.population) AS DOUBLE) AS score FROM en JOIN od ON od.orig = en.orig AND od.des = en.node JOIN pot p ON p.node = en.node GROUP BY en.scen)"""
+score AS (SELECT sets.scen, coalesce(v.v, 0) - CAST({charge!r} AS DOUBLE) * bit_count(sets.scen) AS score FROM sets LEFT JOIN (
+  SELECT en.scen, CAST(sum(p.population * ({worth}) * ({factor})) AS DOUBLE) AS v FROM en JOIN od ON od.orig = en.orig AND od.des = en.node JOIN pot p ON p.node = en.node GROUP BY en.scen) v USING (scen))"""
+
+
+ENUM_SQL = enum_sql(8, 100)
+BEST_SCORE = " SELECT round(score, 6) AS score FROM score ORDER BY round(score, 9) DESC, scen LIMIT 1"
+
+
+def _worth_sql(variant: str) -> str:
+    from wayfold.plans.reachability import VARIANTS
+
+    b1, limit, most = VARIANTS[variant]
+    _, b1, b2 = C.betas(b1, limit, most)
+    return f"1 - CASE WHEN en.dist <= {limit} THEN en.dist * CAST({b1!r} AS DOUBLE) ELSE CAST({b1!r} AS DOUBLE) * {limit} + CAST({b2!r} AS DOUBLE) * (en.dist - {limit}) END"
 
 
 @query("enumerated_design", with_net(" SELECT scen, CAST(cost AS DOUBLE) AS cost, coalesce(score, 0) AS score FROM sets LEFT JOIN score USING (scen) ORDER BY coalesce(score, 0) DESC, scen LIMIT 1", OD, ENUM_SQL))
@@ -129,10 +144,22 @@ def enumerated_design(spark, sf):
     return design.enumerate_best(problem(spark, sf, 8), 8, 100).select("scen", "cost", "score")
 
 
-@query("cut_loop_design", with_net(" SELECT coalesce(score, 0) AS score FROM sets LEFT JOIN score USING (scen) ORDER BY coalesce(score, 0) DESC, scen LIMIT 1", OD, ENUM_SQL))
+@query("enumerated_piecewise", with_net(" SELECT scen, CAST(cost AS DOUBLE) AS cost, round(score, 6) AS score FROM sets JOIN score USING (scen) ORDER BY round(score, 9) DESC, scen LIMIT 1", OD, enum_sql(8, 100, TIME_MAX, _worth_sql("exp"))))
+def enumerated_piecewise(spark, sf):
+    """The same with the piecewise worth of travel times."""
+    return design.enumerate_best(problem(spark, sf, 8, _piecewise("exp")), 8, 100).select("scen", "cost", F.round("score", 6).alias("score"))
+
+
+@query("cut_loop_design", with_net(BEST_SCORE, OD, ENUM_SQL))
 def cut_loop_design(spark, sf):
     """The same optimum through cuts and a master problem."""
-    return design.cut_loop(problem(spark, sf, 8), 100).select("score")
+    return design.cut_loop(problem(spark, sf, 8), 100).select(F.round("score", 6).alias("score"))
+
+
+@query("cut_loop_strengthened", with_net(BEST_SCORE, OD, ENUM_SQL))
+def cut_loop_strengthened(spark, sf):
+    """The same optimum with cuts made deepest at a core point, and cuts near the relaxed optimum before the search."""
+    return design.cut_loop(problem(spark, sf, 8), 100, strengthen=True, root=3).select(F.round("score", 6).alias("score"))
 
 
 def _piecewise(variant):
@@ -142,21 +169,31 @@ def _piecewise(variant):
     return lambda d: 1 - C.penalty(d, C.betas(b1, limit, most), limit, most)
 
 
-@query("cut_loop_piecewise")
+@query("cut_loop_piecewise", with_net(BEST_SCORE, OD, enum_sql(10, 80, TIME_MAX, _worth_sql("exp"), charge=1.0)))
 def cut_loop_piecewise(spark, sf):
     """Cuts with the piecewise objective and a charge per project."""
-    return design.cut_loop(problem(spark, sf, 10, _piecewise("exp"), charge=1.0), 80)
+    return design.cut_loop(problem(spark, sf, 10, _piecewise("exp"), charge=1.0), 80).select(F.round("score", 6).alias("score"))
 
 
-@query("cut_loop_equity")
+GROUPS_SQL = """
+sc0 AS (SELECT CAST(c_nationkey AS BIGINT) AS orig, round(avg(c_acctbal), 6) AS score FROM customer GROUP BY 1), eq AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS q FROM sc0),
+grp AS (SELECT orig, 1 + (score > q[1])::INT + (score > q[2])::INT + (score > q[3])::INT + (score > q[4])::INT AS grp FROM sc0, eq)"""
+
+
+def _groups(spark, sf):
+    """(orig, grp): origins by quintile of their customers' mean balance."""
+    from wayfold.operators.report import quantile_group
+
+    score = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("orig")).agg(F.round(F.avg("c_acctbal"), 6).alias("s"))
+    return quantile_group(score, "s", 5, "grp").select("orig", "grp")
+
+
+@query("cut_loop_equity", with_net(BEST_SCORE, OD, GROUPS_SQL, enum_sql(10, 80, factor="coalesce((SELECT 6.0 - g.grp FROM grp g WHERE g.orig = en.orig), 0)")))
 def cut_loop_equity(spark, sf):
     """Cuts with pairs weighted by the quintile of their origin, the poorest most."""
     n = Network(spark, sf)
-    from wayfold.operators.report import quantile_group
-
-    score = n.table("customer").groupBy(F.col("c_nationkey").cast("long").alias("orig")).agg(F.avg("c_acctbal").alias("s"))
-    factor = quantile_group(score, "s", 5, "g").select("orig", (6.0 - F.col("g")).alias("factor"))
-    return design.cut_loop(problem(spark, sf, 10, weights=n.od.join(factor, "orig").select("od_id", "factor")), 80)
+    factor = _groups(spark, sf).select("orig", (6.0 - F.col("grp")).alias("factor"))
+    return design.cut_loop(problem(spark, sf, 10, weights=n.od.join(factor, "orig").select("od_id", "factor")), 80).select(F.round("score", 6).alias("score"))
 
 
 @query("reduced_problem_design")
@@ -302,9 +339,7 @@ def regression_design(spark, sf):
     return g.join(full, "step")
 
 
-EQUITY_SQL = ENUM_SQL.replace("score AS (", "flat_score AS (") + """,
-sc0 AS (SELECT CAST(c_nationkey AS BIGINT) AS orig, round(avg(c_acctbal), 6) AS score FROM customer GROUP BY 1), eq AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS q FROM sc0),
-grp AS (SELECT orig, 1 + (score > q[1])::INT + (score > q[2])::INT + (score > q[3])::INT + (score > q[4])::INT AS grp FROM sc0, eq),
+EQUITY_SQL = ENUM_SQL.replace("score AS (", "flat_score AS (") + "," + GROUPS_SQL + """,
 gains AS (SELECT en.scen, g.grp, CAST(sum(p.population) AS DOUBLE) AS gain FROM en JOIN od ON od.orig = en.orig AND od.des = en.node JOIN pot p ON p.node = en.node JOIN grp g ON g.orig = en.orig GROUP BY en.scen, g.grp),
 cells AS (SELECT s.scen, g.grp, coalesce(x.gain, 0) AS gain FROM sets s CROSS JOIN (SELECT DISTINCT grp FROM grp) g LEFT JOIN gains x ON x.scen = s.scen AND x.grp = g.grp),
 m AS (SELECT scen, sum(gain) AS efficiency, min(gain) AS rawls, sum(ln(1 + gain)) AS nash, -(max(gain) - min(gain)) + 0.001 * sum(gain) AS equality FROM cells GROUP BY scen),
