@@ -117,7 +117,7 @@ class Problem:
 
 
 def _designs(spark, sets: list[list[int]]) -> DataFrame:
-    return spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "scen long, open array<int>")
+    return spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "scen long, open array<long>")
 
 
 def _score_sets(problem: Problem, sets: list[list[int]]) -> list[float]:
@@ -130,7 +130,7 @@ def candidate_gains(problem: Problem, opened: list[int]) -> DataFrame:
     """(proj, cost, score, gain) of opening each further project; one job over candidates and the origins each can change."""
     now = problem.with_open(opened)
     rest = problem.costs.filter(~F.col("proj").isin(opened)) if opened else problem.costs
-    designs = rest.select(F.col("proj").cast("long").alias("scen"), F.array(F.col("proj").cast("int")).alias("open"))
+    designs = rest.select(F.col("proj").cast("long").alias("scen"), F.array(F.col("proj").cast("long")).alias("open"))
     spent = problem.charge * len(opened)
     scored = now.score(designs).select(F.col("scen").alias("proj"), (F.col("score") - spent).alias("score"))
     return scored.join(rest.select("proj", "cost"), "proj").withColumn("gain", F.round(F.col("score") - F.lit(now.base_total - spent), 9))
@@ -153,7 +153,7 @@ def greedy(problem: Problem, budget: float, per_cost: bool = False) -> DataFrame
         opened = [*opened, int(pick[0]["proj"])]
         allocated += float(pick[0]["cost"])
         rows.append((len(rows) + 1, opened[-1], allocated, float(pick[0]["score"]), list(opened)))
-    return problem.base.sparkSession.createDataFrame(rows, "step int, proj int, allocated double, score double, selected array<int>")
+    return problem.base.sparkSession.createDataFrame(rows, "step int, proj long, allocated double, score double, selected array<long>")
 
 
 def all_designs(costs: DataFrame, most_projects: int, budget: float) -> DataFrame:
@@ -319,4 +319,4 @@ def cut_loop(problem: Problem, budget: float, gap: float = 1e-6, strengthen: boo
         if top <= best[0] + gap or tuple(opened) in tried:
             break
         add(opened)
-    return spark.createDataFrame([(best[1], float(best[0]), float(top), n)], "open array<int>, score double, bound double, rounds int")
+    return spark.createDataFrame([(best[1], float(best[0]), float(top), n)], "open array<long>, score double, bound double, rounds int")

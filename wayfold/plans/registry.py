@@ -7,7 +7,7 @@ import importlib
 from wayfold.operators import packed
 from wayfold.plans.base import QUERIES, SQL
 
-for _m in ("reachability", "network_tables", "vectors", "designs", "reports", "extras"):
+for _m in ("reachability", "network_tables", "vectors", "designs", "reports", "extras", "growing"):
     importlib.import_module(f"wayfold.plans.{_m}")
 
 
