@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 DECAY = {"exp": (0.75 / 20, 0.25 / 40, 20), "linear": (1 / 60, 0.0, 60), "rec": (0.001, 0.942 / 2, 58)}
 
 
+#: First slope, second slope, threshold and cap of the accessibility that similarity graphs are made from, of
+#: the synthetic and of the real network.
+GRAPH_DECAY = {"synthetic": (0.001, (1 - 0.06) / 10, 60, None), "real": (0.001, (1 - 0.001 * 28) / 2, 28, 30)}
+
+
 def betas(beta_1: float, limit: float, most: float) -> tuple[float, float, float]:
     """Level beyond `most`, slope up to `limit`, slope from there to reach the level at `most`."""
     return 1.0, beta_1, (1.0 - beta_1 * limit) / (most - limit) if most > limit else 0.0

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import columns as C
 from wayfold.operators import access, coreset, graph, learn
-from wayfold.plans.base import query, reach, with_net
-from wayfold.plans.designs import SCEN, _scenarios
+from wayfold.plans.base import OD, query, reach, with_net
+from wayfold.plans.designs import SCEN, SCEN_REACH, _scenarios
 from wayfold.plans.network import Network
 from wayfold.plans.network_tables import CRIT_SQL, ROADS_SQL, _roads, critical_nodes_of
-from wayfold.plans.reports import KNN_SQL, ROUTE_SQL, UTIL_SQL, _routes, _runs
+from wayfold.plans.reports import LISTS_SQL, ROUTE_SQL, UTIL_SQL, _lists, _routes, _runs
 from wayfold.plans.vectors import _items, _reps
 from wayfold.session import table
 from wayfold.sources import files
@@ -127,16 +127,32 @@ def road_ends(spark, sf):
     return ends.join(critical_nodes_of(r), "node", "left_semi").groupBy("node").agg(F.count("*").alias("roads"), F.sum("length").alias("metres"))
 
 
-@query("random_designs")
+DRAW_SQL = """, sc0 AS (SELECT DISTINCT user_id AS scen FROM events), un AS (SELECT id AS node FROM nodes WHERE id % 4 = 1),
+cnt AS (SELECT scen, (SELECT count(*) FROM projects) AS p, (SELECT count(*) FROM un) AS u, CAST('0x' || substr(md5('n' || scen), 1, 8) AS BIGINT) AS hn, CAST('0x' || substr(md5('s' || scen), 1, 8) AS BIGINT) AS hs FROM sc0),
+want AS (SELECT scen, p // 2 + hn % greatest(p - p // 2, 1) AS np, CASE WHEN u <= 1 THEN 0 ELSE 1 + hs % (u - 1) END AS ns FROM cnt),
+pr AS (SELECT scen, proj, row_number() OVER (PARTITION BY scen ORDER BY md5(scen || 'p' || proj), proj) AS k FROM sc0, projects),
+sr AS (SELECT scen, node, row_number() OVER (PARTITION BY scen ORDER BY md5(scen || 'u' || node), node) AS k FROM sc0, un)
+SELECT w.scen, 'project' AS kind, CAST(pr.proj AS BIGINT) AS id FROM want w JOIN pr ON pr.scen = w.scen AND k <= np UNION ALL SELECT w.scen, 'signal', sr.node FROM want w JOIN sr ON sr.scen = w.scen AND k <= ns"""
+
+
+@query("random_designs", with_net(DRAW_SQL))
 def random_designs(spark, sf):
-    """Seeded designs: from half to all but one of the projects, without replacement, by rank of a hash."""
+    """Seeded designs: of P projects from half to all but one, of U nodes without a signal from one to all but one (none if
+    U is one), without replacement by rank of a hash. The hash is MD5 of the names, which any engine repeats."""
     n, s = _scenarios(spark, sf)
-    every = n.projects.agg(F.sort_array(F.collect_list(F.col("proj").cast("int"))).alias("all"), F.lit(1).alias("one"))
-    rows = s.select("scen", F.lit(1).alias("one")).join(F.broadcast(every), "one")
-    p = F.size("all")
-    want = F.floor(p / 2) + F.pmod(F.xxhash64("scen", F.lit("n")), F.greatest(F.ceil(p / 2), F.lit(1)))
-    ranked = F.transform(F.sort_array(F.transform("all", lambda x: F.struct(F.xxhash64(F.col("scen"), x).alias("h"), x.alias("p")))), lambda t: t["p"])
-    return rows.select("scen", F.sort_array(F.slice(ranked, F.lit(1), want.cast("int"))).alias("open"))
+    listed = lambda df, c: F.broadcast(df.agg(F.sort_array(F.collect_list(F.col(c).cast("long"))).alias("all"), F.lit(1).alias("one")))
+    number = lambda tag: F.conv(F.substring(F.md5(F.concat(F.lit(tag), F.col("scen").cast("string"))), 1, 8), 16, 10).cast("long")
+
+    def drawn(every, tag: str, want, kind: str):
+        rows = s.select("scen", F.lit(1).alias("one")).join(every, "one").withColumn("n", F.size("all").cast("long"))
+        name = lambda x: F.md5(F.concat(F.col("scen").cast("string"), F.lit(tag), x.cast("string")))
+        ranked = F.transform(F.sort_array(F.transform("all", lambda x: F.struct(name(x).alias("h"), x.alias("id")))), lambda t: t["id"])
+        return rows.select("scen", F.lit(kind).alias("kind"), F.explode(F.slice(ranked, F.lit(1), want.cast("int"))).alias("id"))
+
+    half, size = F.floor(F.col("n") / 2), F.col("n")
+    projects = drawn(listed(n.projects, "proj"), "p", half + number("n") % F.greatest(size - half, F.lit(1)), "project")
+    signals = drawn(listed(n.nodes.filter("id % 4 = 1"), "id"), "u", F.when(size <= 1, 0).otherwise(1 + number("s") % F.greatest(size - 1, F.lit(1))), "signal")
+    return projects.unionByName(signals)
 
 
 @query("sample_batch")
@@ -165,14 +181,14 @@ def perturbed_median(spark, sf):
     return coreset.perturbed_median(i, _reps(i), seed=3)
 
 
-@query("selected_project_records", KNN_SQL + r""", d AS (SELECT ins_id, arg_max(projects, ROW(budget, obj, rec_id)) AS projects FROM runs WHERE budget <= 300 AND regexp_full_match(projects, '\[\s*(\d+\s*(,\s*\d+\s*)*)?\]') GROUP BY ins_id)
-SELECT ins_id, CAST(x AS BIGINT) AS proj, CAST(x AS BIGINT) * 10 + 1 AS rec FROM (SELECT ins_id, unnest(from_json(projects, '["BIGINT"]')) AS x FROM d)""")
+@query("selected_project_records", LISTS_SQL + """, d AS (SELECT ins_id, arg_max(p, ROW(budget, obj, rec_id)) AS p FROM l WHERE budget <= 300 GROUP BY ins_id)
+SELECT ins_id, CAST(x AS BIGINT) AS proj, p_name AS name FROM (SELECT ins_id, unnest(p) AS x FROM d) LEFT JOIN part ON p_partkey = x""")
 def selected_project_records(spark, sf):
-    """Road records of the design kept for each instance: a last-row lookup, exploded and joined."""
-    ok = _runs(spark, sf).filter("budget <= 300").filter(F.col("projects").rlike(r"^\[\s*(\d+\s*(,\s*\d+\s*)*)?\]$"))
-    d = ok.groupBy("ins_id").agg(F.max_by("projects", F.struct("budget", "obj", "rec_id")).alias("projects"))
-    records = spark.range(0, 2000).select(F.col("id").alias("proj"), (F.col("id") * 10 + 1).alias("rec"))
-    return d.select("ins_id", F.explode(C.list_literal(F.col("projects"))).alias("proj")).join(records, "proj").select("ins_id", "proj", "rec")
+    """Records of the projects of the design kept for each instance: a last-row lookup, taken apart and joined to the table
+    of records, here `part`. Projects without a record stay."""
+    d = _runs(spark, sf).filter("budget <= 300").groupBy("ins_id").agg(F.max_by("rec_id", F.struct("budget", "obj", "rec_id")).alias("rec_id"))
+    records = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("proj"), F.col("p_name").alias("name"))
+    return d.join(_lists(spark, sf), "rec_id").select("ins_id", "proj").join(records, "proj", "left").select("ins_id", "proj", "name")
 
 
 @query("routes_per_od", ROUTE_SQL + " SELECT od_id, CAST(count(*) AS INTEGER) AS routes, string_agg(array_to_string(nodes, '-'), '|' ORDER BY r) AS joined FROM routes GROUP BY od_id")
@@ -235,10 +251,22 @@ def boosted_objective(spark, sf):
     return learn.boosted_total(i, r, coreset.nearest(i, r, 1).select("id", "rep"))
 
 
-@query("leader_dataset", with_net(", m AS (SELECT list(v ORDER BY d) AS f FROM (SELECT d, avg(x) AS v FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY d)) SELECT c.scen, CAST(count(*) AS BIGINT) AS opened, (SELECT round(f[1], 6) FROM m) AS first_mean FROM chosen c GROUP BY c.scen", SCEN))
+@query("leader_dataset", with_net(""", m AS (SELECT d, avg(x) AS v FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY d),
+y AS (SELECT sc.scen, CAST(sum(p.population) AS BIGINT) AS y FROM sc JOIN od ON od.orig = sc.orig AND od.des = sc.node JOIN pot p ON p.node = sc.node WHERE sc.dist <= 15 GROUP BY sc.scen),
+u AS (SELECT DISTINCT user_id AS scen FROM events),
+x AS (SELECT u.scen, row_number() OVER (PARTITION BY u.scen ORDER BY p.proj) - 1 AS k, CAST(CASE WHEN (u.scen * 37 + p.proj * 11) % 5 < 2 THEN 1 ELSE 0 END AS DOUBLE) AS x FROM u, projects p
+  UNION ALL SELECT u.scen, (SELECT count(*) FROM projects) + d - 1, v FROM u, m)
+SELECT x.scen, CAST(x.k AS INTEGER) AS k, round(CAST(x.x AS DOUBLE), 6) AS x, coalesce(y.y, 0) AS y FROM x LEFT JOIN y USING (scen)""", OD, SCEN, SCEN_REACH))
 def leader_dataset(spark, sf):
-    """Designs joined with the mean vector of all items: rows of a dataset that predicts a design's score."""
-    _, s = _scenarios(spark, sf)
-    mean = table(spark, sf, "embeddings").agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("first_mean"), F.lit(1).alias("one"))
-    rows = s.filter(F.size("open") > 0).select("scen", F.size("open").cast("long").alias("opened"), F.lit(1).alias("one"))
-    return rows.join(F.broadcast(mean), "one").select("scen", "opened", "first_mean")
+    """Rows of a dataset that predicts a design's accessibility, one element to a row: the design as zeros and ones over
+    all projects, followed by the mean vector of all items; y is the accessibility under the design."""
+    from wayfold.plans.designs import scenario_accessibility
+    from wayfold.plans.vectors import mean_feature
+
+    n, s = _scenarios(spark, sf)
+    every = n.projects.agg(F.sort_array(F.collect_list(F.col("proj").cast("int"))).alias("all"), F.lit(1).alias("one"))
+    mean = mean_feature(spark, sf).agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("m"), F.lit(1).alias("one")).select("m.mean", "one")
+    rows = s.withColumn("one", F.lit(1)).join(F.broadcast(every), "one").join(F.broadcast(mean), "one")
+    bits = F.transform("all", lambda p: F.array_contains("open", p).cast("double"))
+    rows = rows.join(scenario_accessibility(spark, sf).select("scen", F.col("acc").alias("y")), "scen", "left")
+    return rows.select("scen", F.coalesce("y", F.lit(0)).alias("y"), F.posexplode(F.concat(bits, "mean")).alias("k", "x")).select("scen", "k", F.round("x", 6).alias("x"), "y")

@@ -218,13 +218,21 @@ _barrier("cost_to_arterial", "CASE WHEN src % 5 = 0 OR lts > 2 OR src % 2 = 1 TH
 _barrier("cost_from_arterial", "CASE WHEN dst % 5 = 0 OR lts > 2 OR (src % 5 <> 0 AND src % 2 = 1) THEN 100000000 ELSE time END", "dst % 5 = 0 or lts > 2 or (src % 5 != 0 and src % 2 = 1)")
 
 
-@query("arterial_shortcuts", with_net(" SELECT orig, node, dist, 1 AS lts FROM sp WHERE orig % 5 <> 0 AND node % 5 = 0 AND orig <> node", " barrier AS (SELECT src, dst, CASE WHEN src % 5 = 0 OR lts > 3 THEN 100000000 ELSE time END AS time FROM edges)", reach("sp", "barrier", 30)))
+BARRIERS = """ barrier AS (SELECT src, dst, CASE WHEN src % 5 = 0 OR lts > 3 THEN 100000000 ELSE time END AS time FROM edges),
+barrier_back AS (SELECT src, dst, CASE WHEN dst % 5 = 0 OR lts > 3 THEN 100000000 ELSE time END AS time FROM edges)"""
+
+
+@query("arterial_shortcuts", with_net(" SELECT orig, node, dist, 1 AS lts FROM sp WHERE orig % 5 <> 0 AND node % 5 = 0 UNION ALL SELECT orig, node, dist, 1 FROM sq WHERE orig % 5 = 0 AND node % 5 <> 0", BARRIERS, reach("sp", "barrier", 30), reach("sq", "barrier_back", 30)))
 def arterial_shortcuts(spark, sf):
+    """Ways from zones to arterial nodes and back that pass no other arterial node."""
     n = Network(spark, sf)
-    case = (F.col("src") % 5 == 0) | (F.col("lts") > 3)
-    cost = n.edges.select("src", "dst", F.when(case, F.lit(100_000_000).cast("long")).otherwise(F.col("time")).alias("time"))
-    found = n.reach(cost, 30, n.origins.filter("orig % 5 != 0"))
-    return found.filter("node % 5 = 0 and orig != node").select("orig", "node", "dist", F.lit(1).alias("lts"))
+
+    def found(end: str, origins: str, goals: str):
+        far = F.lit(100_000_000).cast("long")
+        cost = n.edges.select("src", "dst", F.when((F.col(end) % 5 == 0) | (F.col("lts") > 3), far).otherwise(F.col("time")).alias("time"))
+        return n.reach(cost, 30, n.origins.filter(origins)).filter(goals).select("orig", "node", "dist", F.lit(1).alias("lts"))
+
+    return found("src", "orig % 5 != 0", "node % 5 = 0").unionByName(found("dst", "orig % 5 = 0", "node % 5 != 0"))
 
 
 @query("deadends", with_net(" SELECT node, count(DISTINCT other) AS neighbours FROM (SELECT src AS node, dst AS other FROM cur UNION ALL SELECT dst, src FROM cur) GROUP BY node HAVING count(DISTINCT other) <= 1"))
@@ -237,10 +245,12 @@ def reverse_graph(spark, sf):
     return graph.reverse(Network(spark, sf).edges).select("src", "dst", "time")
 
 
-@query("relevant_subgraph", with_net(" SELECT o.orig, o.des, f.node FROM od o JOIN f ON f.orig = o.orig JOIN b ON b.orig = o.des AND b.node = f.node WHERE f.dist + b.dist <= 20", OD, reach("f", "edges", TIME_MAX), " back AS (SELECT dst AS src, src AS dst, time FROM edges)", reach("b", "back", TIME_MAX)))
+@query("relevant_subgraph", with_net(", band AS (SELECT o.orig, o.des, f.node FROM od o JOIN f ON f.orig = o.orig JOIN b ON b.orig = o.des AND b.node = f.node WHERE f.dist + b.dist <= 20) SELECT orig, des, node FROM band UNION SELECT band.orig, band.des, CASE WHEN e.src = band.node THEN e.dst ELSE e.src END FROM band JOIN edges e ON band.node IN (e.src, e.dst)", OD, reach("f", "edges", TIME_MAX), " back AS (SELECT dst AS src, src AS dst, time FROM edges)", reach("b", "back", TIME_MAX)))
 def relevant_subgraph(spark, sf):
+    """Nodes on ways of a pair within the greatest time, and their neighbours."""
     n = Network(spark, sf)
-    return graph.relevant_nodes(n.reach(n.edges, TIME_MAX), n.reach(graph.reverse(n.edges), TIME_MAX), n.od, TIME_MAX)
+    band = graph.relevant_nodes(n.reach(n.edges, TIME_MAX), n.reach(graph.reverse(n.edges), TIME_MAX), n.od, TIME_MAX)
+    return graph.with_neighbours(band, n.edges)
 
 
 @query("crossing_pairs", with_net(" SELECT e.src AS at, e.dst AS onto, p.src AS p_src, p.dst AS p_dst FROM edges e JOIN project_edges p ON e.src IN (p.src, p.dst) WHERE e.src % 4 = 1 AND NOT (e.src = p.src AND e.dst = p.dst)"))
@@ -292,10 +302,12 @@ def all_edge_lists(spark, sf):
     return n.edges.select("src", "dst", "time", F.lit("road").alias("kind")).unionByName(n.project_edges.select("src", "dst", "time", F.lit("project").alias("kind")))
 
 
-@query("nodes_except_listed", with_net(" SELECT id AS node FROM nodes EXCEPT SELECT id FROM nodes WHERE id IN (3, 8, 13)"))
+@query("nodes_except_listed", with_net(" SELECT id AS node FROM nodes EXCEPT SELECT CAST(n_nationkey AS BIGINT) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AFRICA'"))
 def nodes_except_listed(spark, sf):
+    """Nodes without those of a list that a table holds."""
     n = Network(spark, sf)
-    return n.nodes.select(F.col("id").alias("node")).exceptAll(n.nodes.filter(F.col("id").isin(3, 8, 13)).select("id"))
+    listed = n.table("nation").join(n.table("region").filter("r_name = 'AFRICA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.nodes.select(F.col("id").alias("node")).exceptAll(listed.select(F.col("n_nationkey").cast("long")))
 
 
 @query("nodes_in_network", "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS node FROM customer INTERSECT SELECT CAST(s_nationkey AS BIGINT) FROM supplier")

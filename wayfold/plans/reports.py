@@ -6,20 +6,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import columns as C
-from wayfold.operators import access, report
+from wayfold.operators import access, coreset, packed, report
 from wayfold.operators.rows import rows_in_use
-from wayfold.plans.base import query, with_net
+from wayfold.plans.base import NET, query, with_net
 from wayfold.plans.network import Network
+from wayfold.plans.vectors import VEC_SQL, _items, _reps
 from wayfold.session import finite, table
 from wayfold.sources import files
 
 KNN_SQL = """WITH usable AS (SELECT rec_id, ins_id, budget, round(size, 6) AS size, seed, obj, acc, time, projects, loaded_at FROM complete_pmedian_knn WHERE budget IS NOT NULL AND size IS NOT NULL AND obj IS NOT NULL AND isfinite(obj)),
-runs AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC, ins_id DESC, budget DESC, size DESC, seed DESC, obj DESC, time DESC, projects DESC) = 1)"""
+runs AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC, ins_id DESC, budget DESC, size DESC, seed DESC, obj DESC, time DESC, projects DESC, acc DESC) = 1)"""
 
 
 def _runs(spark, sf):
     t = table(spark, sf, "complete_pmedian_knn").withColumn("size", F.round("size", 6))
-    return rows_in_use(t, ["rec_id"], "loaded_at", ["ins_id", "budget", "size", "seed", "obj", "time", "projects"], F.col("budget").isNotNull() & F.col("size").isNotNull() & finite(F.col("obj")))
+    return rows_in_use(t, ["rec_id"], "loaded_at", ["ins_id", "budget", "size", "seed", "obj", "time", "projects", "acc"], F.col("budget").isNotNull() & F.col("size").isNotNull() & finite(F.col("obj")))
 
 
 @query("opt_gap", KNN_SQL + """, b AS (SELECT ins_id, budget, max(obj) AS best FROM runs GROUP BY ins_id, budget)
@@ -60,12 +61,22 @@ def asof_budget(spark, sf):
     return report.as_of(levels, "budget", s, "allocated", ["acc", "step"], ["run_id"]).select("run_id", "budget", "acc", "step")
 
 
-@query("greedy_vs_best", GREEDY_SQL + """, g AS (SELECT l.budget, max(a) AS greedy, min(a) AS low FROM (SELECT l.run_id, l.budget, arg_max(s.acc, s.allocated) AS a FROM levels l JOIN steps s ON s.run_id = l.run_id AND s.allocated <= l.budget GROUP BY l.run_id, l.budget) l GROUP BY l.budget)
-SELECT budget, greedy, low, round(CAST(greedy AS DOUBLE) / low - 1, 6) AS gain FROM g""")
+@query("greedy_vs_best", KNN_SQL + """, opt AS (SELECT budget, max(acc) AS best FROM runs WHERE acc IS NOT NULL GROUP BY budget),
+steps AS (SELECT run_id, allocated, max(acc) AS acc FROM greedy_abs_job_par WHERE acc IS NOT NULL GROUP BY run_id, allocated),
+g AS (SELECT run_id, budget, arg_max(s.acc, s.allocated) AS acc FROM steps s JOIN opt ON s.allocated <= opt.budget GROUP BY run_id, budget),
+b AS (SELECT budget, max(acc) AS greedy FROM g GROUP BY budget), cur AS (SELECT min(acc) AS curr FROM steps)
+SELECT o.budget, b.greedy, o.best, round((CAST(o.best AS DOUBLE) - b.greedy) / b.greedy, 6) AS gain, round(b.greedy * 100.0 / curr, 6) AS greedy_percent, round(o.best * 100.0 / curr, 6) AS best_percent FROM opt o JOIN b USING (budget), cur""")
 def greedy_vs_best(spark, sf):
-    a = asof_budget(spark, sf).filter("acc is not null")
-    g = a.groupBy("budget").agg(F.max("acc").alias("greedy"), F.min("acc").alias("low"))
-    return g.select("budget", "greedy", "low", F.round(F.try_divide(F.col("greedy").cast("double"), F.col("low")) - 1, 6).alias("gain"))
+    """Best result of the optimiser at each of its budgets against the best that greedy runs had reached with as much, and
+    both in percent of the least accessibility on record."""
+    opt = _runs(spark, sf).filter("acc is not null").groupBy("budget").agg(F.max("acc").alias("best"))
+    s = _steps(spark, sf)
+    levels = s.select("run_id").distinct().join(F.broadcast(opt.select(F.col("budget").cast("double").alias("budget"))))  # a row for each budget of an experiment
+    at = report.as_of(levels, "budget", s, "allocated", ["acc"], ["run_id"]).filter("acc is not null")
+    b = at.groupBy(F.col("budget").cast("int").alias("budget")).agg(F.max("acc").alias("greedy"))
+    both = opt.join(b, "budget").withColumn("one", F.lit(1)).join(F.broadcast(s.agg(F.min("acc").alias("curr"), F.lit(1).alias("one"))), "one")
+    percent = lambda c: F.round(F.try_divide(F.col(c) * 100.0, F.col("curr")), 6)
+    return both.select("budget", "greedy", "best", F.round(F.try_divide(F.col("best").cast("double") - F.col("greedy"), F.col("greedy")), 6).alias("gain"), percent("greedy").alias("greedy_percent"), percent("best").alias("best_percent"))
 
 
 @query("last_design_at_budget", KNN_SQL + " SELECT ins_id, arg_max(projects, ROW(budget, obj, rec_id)) AS projects FROM runs WHERE budget <= 300 GROUP BY ins_id")
@@ -74,18 +85,25 @@ def last_design_at_budget(spark, sf):
     return _runs(spark, sf).filter("budget <= 300").groupBy("ins_id").agg(F.max_by("projects", F.struct("budget", "obj", "rec_id")).alias("projects"))
 
 
-@query("list_literals", KNN_SQL + r""", l AS (SELECT rec_id, projects FROM runs WHERE regexp_full_match(projects, '\[\s*(\d+\s*(,\s*\d+\s*)*)?\]'))
-SELECT rec_id, CAST(len(from_json(projects, '["BIGINT"]')) AS INTEGER) AS n, CAST(list_sum(from_json(projects, '["BIGINT"]')) AS BIGINT) AS total FROM l""")
+LISTS_SQL = KNN_SQL + r""", l AS (SELECT rec_id, obj, ins_id, budget, from_json(projects, '["BIGINT"]') AS p FROM runs)"""
+
+
+def _lists(spark, sf):
+    """(rec_id, proj) of every result in use, whatever form its list has."""
+    v = packed.split_packed(_runs(spark, sf).select("rec_id", "projects"), "rec_id", "projects")
+    return v.select("rec_id", "pos", F.expr("try_cast(try_cast(value AS double) AS bigint)").alias("proj"))
+
+
+@query("list_literals", LISTS_SQL + " SELECT rec_id, CAST(len(p) AS BIGINT) AS n, CAST(list_sum(p) AS BIGINT) AS total FROM l WHERE len(p) > 0")
 def list_literals(spark, sf):
-    rows = _runs(spark, sf).filter(F.col("projects").rlike(r"^\[\s*(\d+\s*(,\s*\d+\s*)*)?\]$"))
-    p = C.list_literal(F.col("projects"))
-    return rows.select("rec_id", F.size(p).alias("n"), F.when(F.size(p) > 0, F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
+    """Number and sum of the listed projects of each result; results without any are left out."""
+    return _lists(spark, sf).groupBy("rec_id").agg(F.count("*").alias("n"), F.sum("proj").alias("total"))
 
 
-@query("project_frequency", KNN_SQL + r""" SELECT CAST(proj AS BIGINT) AS proj, count(*) AS runs, round(avg(obj), 6) AS mean_obj FROM (SELECT obj, unnest(from_json(projects, '["BIGINT"]')) AS proj FROM runs WHERE regexp_full_match(projects, '\[\s*(\d+\s*(,\s*\d+\s*)*)?\]')) GROUP BY proj""")
+@query("project_frequency", LISTS_SQL + " SELECT CAST(proj AS BIGINT) AS proj, count(*) AS runs, round(avg(obj), 6) AS mean_obj FROM (SELECT obj, unnest(p) AS proj FROM l) GROUP BY proj")
 def project_frequency(spark, sf):
-    """Selected projects exploded and joined to their results."""
-    rows = _runs(spark, sf).filter(F.col("projects").rlike(r"^\[\s*(\d+\s*(,\s*\d+\s*)*)?\]$")).select("obj", F.explode(C.list_literal(F.col("projects"))).alias("proj"))
+    """Selected projects, one to a row, joined to their results."""
+    rows = _lists(spark, sf).join(_runs(spark, sf).select("rec_id", "obj"), "rec_id")
     return rows.groupBy("proj").agg(F.count("*").alias("runs"), F.round(F.avg("obj"), 6).alias("mean_obj"))
 
 
@@ -130,13 +148,31 @@ def time_to_penalty(spark, sf):
     return p.select("od_id", F.round(C.time_penalty(F.col("time"), C.betas(0.001, 28, 30), 28), 9).alias("penalty"))
 
 
-@query("masked_access", "WITH p AS (SELECT DISTINCT od_id, CASE WHEN time IS NULL OR isnan(time) OR time < 0 THEN 30 ELSE least(time, 30) END AS t FROM od), a AS (SELECT od_id, 1 + 0.001 * CASE WHEN t >= 30 THEN 1 ELSE 0 END - t * 0.001 - greatest(t - 28, 0) * ((1 - 0.06) / 10 - 0.001) AS acc FROM p) SELECT od_id, round(acc * CASE WHEN acc <= 1 THEN 1 ELSE 0 END, 9) AS acc FROM a")
+def _graph_access_sql() -> str:
+    a, b, t, _ = C.GRAPH_DECAY["synthetic"]
+    c, d, u, cap = C.GRAPH_DECAY["real"]
+    n = lambda x: f"CAST({x!r} AS DOUBLE)"
+    return f"""WITH p AS (SELECT DISTINCT od_id, coalesce(CASE WHEN isnan(time) THEN NULL ELSE time END, -1) AS t FROM od),
+q AS (SELECT od_id, CASE WHEN t < 0 THEN (SELECT max(t) FROM p) ELSE t END AS l, least(t, {cap}) AS m FROM p),
+r AS (SELECT od_id, 1 - l * {n(a)} - greatest(l - {t}, 0) * ({n(b)} - {n(a)}) AS plain, 1 - m * {n(c)} - greatest(m - {u}, 0) * ({n(d)} - {n(c)}) AS acc FROM q)
+SELECT od_id, round(plain, 9) + 0 AS plain, round(CASE WHEN acc <= 1 THEN acc ELSE 0 END, 9) + 0 AS masked FROM r"""
+
+
+@query("masked_access", _graph_access_sql())
 def masked_access(spark, sf):
-    """Values above one are masked out after the decay."""
-    t = F.when(F.col("time").isNull() | F.isnan("time") | (F.col("time") < 0), F.lit(30.0)).otherwise(F.least("time", F.lit(30.0)))
-    p = table(spark, sf, "od").select("od_id", t.alias("t")).distinct()
-    acc = 1 + F.when(F.col("t") >= 30, 0.001).otherwise(0.0) - F.col("t") * 0.001 - F.greatest(F.col("t") - 28, F.lit(0.0)) * ((1 - 0.06) / 10 - 0.001)
-    return p.select("od_id", F.round(F.when(acc <= 1, acc).otherwise(0.0), 9).alias("acc"))
+    """Accessibility that similarity graphs are made from. Plain: pairs out of reach take the longest time. Masked: times
+    are capped, and what is out of reach, a negative time that comes out above one, is masked to nothing."""
+    t = F.coalesce(F.when(~F.isnan("time"), F.col("time")), F.lit(-1.0))
+    p = table(spark, sf, "od").select("od_id", t.alias("t")).distinct().withColumn("one", F.lit(1))
+    p = p.join(F.broadcast(p.agg(F.max("t").alias("longest"), F.lit(1).alias("one"))), "one")
+
+    def access_at(v: str, time):
+        first, second, threshold, _ = C.GRAPH_DECAY[v]
+        return 1 - time * first - F.greatest(time - threshold, F.lit(0.0)) * (second - first)
+
+    plain = access_at("synthetic", F.when(F.col("t") < 0, F.col("longest")).otherwise(F.col("t")))
+    acc = access_at("real", F.least("t", F.lit(float(C.GRAPH_DECAY["real"][3]))))
+    return p.select("od_id", (F.round(plain, 9) + 0).alias("plain"), (F.round(F.when(acc <= 1, acc).otherwise(0.0), 9) + 0).alias("masked"))
 
 
 @query("beta_second_diff", "WITH f AS (SELECT i, i * power(1.02, i) AS f FROM (SELECT unnest(range(0, 101)) AS i)) SELECT i, round(d, 9) AS value FROM (SELECT i, f - 2 * lag(f, 1) OVER (ORDER BY i) + coalesce(lag(f, 2) OVER (ORDER BY i), 0) AS d FROM f) WHERE i > 0")
@@ -194,19 +230,20 @@ def subsequences(spark, sf):
     return s.select(F.array_join(F.col("seg").cast("array<string>"), "-").alias("seg")).groupBy("seg").agg(F.count("*").alias("n"))
 
 
-@query("segment_ids", ROUTE_SQL + ", seg AS (SELECT a, b, min(route_id * 1000 + pos) AS first_at FROM st GROUP BY a, b) SELECT row_number() OVER (ORDER BY first_at) - 1 AS seg_id, a, b FROM seg")
+@query("segment_ids", ROUTE_SQL + ", seg AS (SELECT a, b, min(ROW(route_id, pos)) AS first_at FROM st GROUP BY a, b) SELECT row_number() OVER (ORDER BY first_at) - 1 AS seg_id, a, b FROM seg")
 def segment_ids(spark, sf):
     """Dense ids of segments by first appearance. There are as many segments as pairs of places, not as routes."""
     steps = _routes(spark, sf).select("route_id", F.posexplode(C.consecutive_pairs(F.col("nodes"))).alias("pos", "e"))
-    seg = steps.groupBy(F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.min(F.col("route_id") * 1000 + F.col("pos") + 1).alias("first_at"))
+    seg = steps.groupBy(F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.min(F.struct("route_id", "pos")).alias("first_at"))
     return seg.select((F.row_number().over(Window.orderBy("first_at")) - 1).cast("long").alias("seg_id"), "a", "b")
 
 
-@query("segment_projects", ROUTE_SQL + " SELECT DISTINCT a, b, (least(a, b) * 7 + greatest(a, b)) % 11 AS proj FROM st WHERE (a + b) % 3 = 0")
+@query("segment_projects", "WITH RECURSIVE " + NET + "," + ROUTE_SQL.removeprefix("WITH ").replace("routes AS", "rts AS").replace("FROM routes", "FROM rts").replace("steps AS", "stps AS").replace("FROM steps", "FROM stps") + " SELECT DISTINCT s.a, s.b, p.proj FROM st s JOIN projects p ON p.a = least(s.a, s.b) AND p.b = greatest(s.a, s.b)")
 def segment_projects(spark, sf):
-    """Segments with the projects they touch: segments joined to project edges in either direction."""
+    """Segments of all routes with the projects they touch: joined to project edges in either direction."""
     steps = _routes(spark, sf).select(F.explode(C.consecutive_pairs(F.col("nodes"))).alias("e")).select("e.a", "e.b").distinct()
-    return steps.filter("(a + b) % 3 = 0").select("a", "b", ((F.least("a", "b") * 7 + F.greatest("a", "b")) % 11).alias("proj"))
+    p = Network(spark, sf).project_edges.select("proj", F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e"))
+    return steps.join(p.select("proj", "e.a", "e.b").distinct(), ["a", "b"]).select("a", "b", "proj")
 
 
 UTIL_SQL = ROUTE_SQL + """, sh AS (SELECT od_id, a, b, count(DISTINCT route_id) AS sharing FROM st GROUP BY od_id, a, b),
@@ -284,12 +321,15 @@ def equity_groups(spark, sf):
     return rows.groupBy("grp").agg(F.count("*").alias("origins"), F.round(F.avg(F.coalesce("curr", F.lit(0))), 6).alias("mean_curr"))
 
 
-@query("equity_weights", with_net(" SELECT grp, v.vec_id % 20 AS rep, round(sum((label + 1) * CAST(0.5 AS DOUBLE)), 6) AS weight FROM embeddings v JOIN grp ON grp.orig = v.vec_id % 25 GROUP BY grp, v.vec_id % 20", _reach("nw", "cur", 15) + EQ_SQL))
+@query("equity_weights", with_net(" SELECT grp.grp, near.rep, round(sum(near.worth), 6) AS weight, round(avg(coalesce(c.curr, 0)), 6) AS mean_curr FROM near JOIN grp ON grp.orig = near.id % 25 LEFT JOIN curr c ON c.orig = grp.orig WHERE near.place = 1 GROUP BY grp.grp, near.rep", _reach("nw", "cur", 15) + EQ_SQL.replace("near AS", "close AS").replace("FROM near JOIN", "FROM close JOIN"), VEC_SQL.removeprefix("WITH ")))
 def equity_weights(spark, sf):
-    """Potential that each group's items hand to each representative: items joined to the group of their origin."""
-    _, grp, _ = _equity(spark, sf)
-    v = table(spark, sf, "embeddings").select((F.col("vec_id") % 25).alias("orig"), (F.col("vec_id") % 20).alias("rep"), ((F.col("label") + 1) * 0.5).alias("w"))
-    return v.join(grp, "orig").groupBy("grp", "rep").agg(F.round(F.sum("w"), 6).alias("weight"))
+    """Potential that each group hands to each representative, and the mean current accessibility behind it: items go to
+    their nearest representative and to the group of their origin."""
+    _, grp, curr = _equity(spark, sf)
+    i = _items(spark, sf)
+    near = coreset.nearest(i, _reps(i), 1).select("id", "rep").join(i.select("id", "worth"), "id")
+    rows = near.withColumn("orig", F.col("id") % 25).join(grp, "orig").join(curr, "orig", "left")
+    return rows.groupBy("grp", "rep").agg(F.round(F.sum(F.col("worth").cast("double")), 6).alias("weight"), F.round(F.avg(F.coalesce("curr", F.lit(0))), 6).alias("mean_curr"))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------

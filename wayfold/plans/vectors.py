@@ -129,8 +129,8 @@ def pairwise_distances(spark, sf):
     return far("cosine").join(far("euclidean"), ["id", "rep"])
 
 
-# Scenario matrices: each user of the events is a scenario; an item is an event type on one day of the month modulo 6.
-SCEN_SQL = """WITH cells AS (SELECT user_id AS scen, (ascii(event_type) * 31 + length(event_type)) % 97 * 10 + day(ts) % 6 AS item, avg(value) AS t FROM events GROUP BY ALL),
+# Scenario matrices: each user of the events is a scenario; an item is an event type on one day of the month.
+SCEN_SQL = """WITH cells AS (SELECT user_id AS scen, (ascii(event_type) * 31 + length(event_type)) % 97 * 100 + day(ts) AS item, avg(value) AS t FROM events GROUP BY ALL),
 ids AS (SELECT DISTINCT item FROM cells), scens AS (SELECT DISTINCT scen FROM cells),
 grid AS (SELECT i.item, s.scen, coalesce(round(c.t, 6), 0) AS t FROM ids i CROSS JOIN scens s LEFT JOIN cells c ON c.item = i.item AND c.scen = s.scen),
 wide AS (SELECT item AS id, list(t ORDER BY scen) AS vec FROM grid GROUP BY item)"""
@@ -138,7 +138,7 @@ wide AS (SELECT item AS id, list(t ORDER BY scen) AS vec FROM grid GROUP BY item
 
 def _scenario_items(spark, sf):
     e = table(spark, sf, "events")
-    item = ((F.ascii("event_type") * 31 + F.length("event_type")) % 97 * 10 + F.dayofmonth("ts") % 6).cast("long")
+    item = ((F.ascii("event_type") * 31 + F.length("event_type")) % 97 * 100 + F.dayofmonth("ts")).cast("long")
     cells = e.groupBy(F.col("user_id").alias("scen"), item.alias("id")).agg(F.round(F.avg("value"), 6).alias("t"))
     # the number of scenarios bounds a vector; the list of scenarios is one small row joined to the items
     scens = cells.agg(F.sort_array(F.collect_set("scen")).alias("scens"), F.lit(1).alias("one"))
@@ -210,7 +210,7 @@ def std_by_od(spark, sf):
 def merged_matrix(spark, sf):
     """Chunks of a scenario matrix added up element by element."""
     e = table(spark, sf, "events")
-    item = ((F.ascii("event_type") * 31 + F.length("event_type")) % 97 * 10 + F.dayofmonth("ts") % 6).cast("long")
+    item = ((F.ascii("event_type") * 31 + F.length("event_type")) % 97 * 100 + F.dayofmonth("ts")).cast("long")
     cells = e.groupBy(F.col("user_id").alias("scen"), item.alias("item")).agg(F.avg("value").alias("t"))
     return cells.unionByName(cells.filter("scen % 2 = 0")).groupBy("scen", "item").agg(F.round(F.sum("t"), 6).alias("t"))
 
