@@ -4,7 +4,9 @@ A round: rows are dealt to coarse cells; in each cell (a large one is cut into s
 hash, and a row that no earlier pivot absorbed becomes a pivot and absorbs all similar rows. Of these pivots, those that
 are local minima of the hash among the pivots similar to them stay, found by a blocked join of pivots only. Rows of the
 others go to a similar pivot that stayed, or wait for the next round. Rounds end when no row is left. A pivot and its
-members are linked, so clusters of any size, a third of all rows too, are never compared pair by pair.
+members are linked, so clusters of any size, a third of all rows too, are never compared pair by pair. Members meet the
+pivots near their own in buckets of pivots; a pivot of very many members has its members dealt to several buckets, to each
+of which its near pivots go.
 
 At the end members go to the closest of all pivots. Two members similar to pivots p and q at angles of at most t lie on
 pivots at most 2t apart, so the pivots near a member's pivot are all that can be closer: the reassignment is exact.
@@ -18,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wayfold.llm import topn
 from wayfold.llm.vectors import at_least, cell_counts, coarse_pivots, lists, matrix, place_in_cells, slabs, with_slab
@@ -31,6 +32,10 @@ SLAB_ROWS = 40_000
 BLOCK_ROWS = 32_768
 #: Members of either side nearest to the other pivot that are compared first.
 NEAREST_FIRST = 32
+#: Members of one pivot that go to one bucket, and rows a bucket is meant to have.
+PART_ROWS, BUCKET_ROWS = 100_000, 200_000
+#: Rows of identifiers that may be broadcast; the count is taken first, beyond it the join is by shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def greedy_pivots(v: np.ndarray, least: float, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -110,38 +115,69 @@ def similar_pivots(pivots: DataFrame, bound) -> DataFrame:
     return tasks.repartition(max(1, blocks * (blocks + 1) // 2), "i", "j").groupBy("i", "j").applyInArrow(_block_pairs(bound), "a long, b long, cosine double")
 
 
-def _choose(least: float, emit_all: bool):
-    """Rows with a list of pivots to choose from: the closest, of equal ones the smaller id; null if none is similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            if not n:
+def _sized(ids: DataFrame) -> DataFrame:
+    """Broadcast if counted to be small."""
+    return F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
+
+
+def _slices(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, begin, end) of the runs of sorted keys."""
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, int)
+    yield from zip(keys[at].tolist(), at.tolist(), np.append(at[1:], len(keys)).tolist())
+
+
+def meet_pivots(members: DataFrame, near: DataFrame, pivots: DataFrame, run, schema: str) -> DataFrame:
+    """What `run` gives for each bucket of members (id, vec, cell, pivot, cosine) and the pivots (old, other, vec, radius) near their own
+    ones. `near`: (old, pivot); `pivots`: (id, vec, radius). All near pivots of a member's pivot are in its bucket."""
+    spark = members.sparkSession
+    counted = checkpointed(members.groupBy("pivot").agg(F.count("*").alias("n")))
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * cores(spark), -(-n // BUCKET_ROWS))
+    parts = counted.filter(F.col("n") > PART_ROWS).select(F.col("pivot").alias("p"), F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    parts = F.broadcast(checkpointed(parts))  # one row for each PART_ROWS rows at most
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce("parts", F.lit(1))).cast("int")
+    left = members.join(parts, F.col("pivot") == F.col("p"), "left").withColumn("bucket", F.pmod(F.xxhash64("pivot", part), F.lit(buckets)).cast("int"))
+    named = near.join(pivots.select(F.col("id").alias("pivot"), "vec", "radius"), "pivot").withColumnRenamed("pivot", "other")
+    right = named.join(parts, F.col("old") == F.col("p"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    right = right.withColumn("bucket", F.pmod(F.xxhash64("old", "part"), F.lit(buckets)).cast("int"))
+    left = left.select("bucket", "id", "vec", "cell", "pivot", "cosine")
+    right = right.select(*[F.col(c).alias(a) for c, a in (("bucket", "to"), ("old", "old"), ("other", "other"), ("vec", "ovec"), ("radius", "radius"))]).distinct()
+
+    def both(key, m, o):
+        m, o = m.sort_by([("pivot", "ascending"), ("id", "ascending")]), o.sort_by([("old", "ascending"), ("other", "ascending")])
+        theirs = {k: (a, z) for k, a, z in _slices(o.column("old").to_numpy())}
+        return run(m, o, theirs)
+
+    return left.groupBy("bucket").cogroup(right.groupBy("to")).applyInArrow(both, schema)
+
+
+def _choose(least: float, keep: bool):
+    """Each member with the closest near pivot, of equal ones the smaller id, null if none is similar. With `keep` its own
+    pivot is one to choose from and pivots stay their own."""
+
+    def run(m, o, theirs):
+        ids, pivot, cosine, v = m.column("id").to_numpy(), m.column("pivot").to_numpy().copy(), m.column("cosine").to_numpy().copy(), matrix(m.column("vec"))
+        other, ov = o.column("other").to_numpy(), matrix(o.column("ovec"))
+        good = np.full(len(ids), keep)
+        for p, a, z in _slices(m.column("pivot").to_numpy()):
+            if p not in theirs:
                 continue
-            names = {f: i for i, f in enumerate(b.schema.names)}
-            v = matrix(b.column(names["vec"]))
-            offer = b.column(names["offer"])
-            count = np.diff(offer.offsets.to_numpy())
-            flat = offer.flatten()
-            pid, pv = flat.field("pivot").to_numpy(), matrix(flat.field("pvec"))
-            row = np.repeat(np.arange(n), count)
-            c = np.einsum("ij,ij->i", v[row], pv) if len(row) else np.empty(0)
-            order = np.lexsort((pid, -c, row))
-            first = order[np.append(True, row[order][1:] != row[order][:-1])] if len(row) else np.empty(0, int)
-            pivot, cosine = np.zeros(n, np.int64), np.full(n, -2.0)
-            pivot[row[first]], cosine[row[first]] = pid[first], c[first]
-            good = cosine >= least
-            yield pa.RecordBatch.from_arrays([b.column(names["id"]), b.column(names["vec"]), b.column(names["cell"]), pa.array(pivot, mask=~good), pa.array(cosine)], names=["id", "vec", "cell", "pivot", "cosine"])
+            x, y = theirs[p]
+            for i in range(a, z, 8192):
+                rows = np.arange(i, min(i + 8192, z))
+                c = v[rows] @ ov[x:y].T
+                at = c.argmax(1)  # others ascend, so of equal ones the smaller
+                top, who = c[np.arange(len(rows)), at], other[x:y][at]
+                if keep:
+                    better = ((top > cosine[rows]) | (top == cosine[rows]) & (who < p)) & (ids[rows] != p)
+                else:
+                    better = top >= least
+                pivot[rows[better]], cosine[rows[better]], good[rows[better]] = who[better], top[better], True
+        return pa.table({"id": ids, "vec": m.column("vec"), "cell": m.column("cell"), "pivot": pa.array(pivot, mask=~good), "cosine": np.where(good, cosine, -2.0)})
 
     return run
 
 
-def _offers(near: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(pivot, offer): for each old pivot the pivots it may hand its members to. `near`: (old, pivot)."""
-    named = near.join(pivots.select(F.col("id").alias("pivot"), F.col("vec").alias("pvec")), "pivot")
-    return named.groupBy("old").agg(F.collect_list(F.struct("pivot", "pvec")).alias("offer")).withColumnRenamed("old", "pivot")
-
-
 def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("old"), F.col("b").alias("pivot")).unionByName(pairs.select(F.col("b").alias("old"), F.col("a").alias("pivot")))
 
@@ -164,13 +200,12 @@ def pivot_clusters(df: DataFrame, key: str, vec: str, threshold: float, seed: in
         near = checkpointed(similar_pivots(pivots, lambda a, b: np.zeros(np.shape(a)) + wide))
         lose = F.when(F.struct(F.xxhash64("a", F.lit(seed)), "a") < F.struct(F.xxhash64("b", F.lit(seed)), "b"), F.col("b")).otherwise(F.col("a"))
         lost = checkpointed(near.filter(F.col("cosine") >= least).select(lose.alias("pivot")).distinct())
-        stay = local.join(lost, "pivot", "left_anti")
-        done.append(stay)
-        moved = local.join(lost, "pivot", "left_semi")
-        stayed = pivots.join(lost.withColumnRenamed("pivot", "id"), "id", "left_anti")
-        offers = _offers(_both_ways(near).join(lost.withColumnRenamed("pivot", "old"), "old", "left_semi"), stayed)
-        chosen = moved.join(offers, "pivot", "left").select("id", "vec", "cell", F.coalesce("offer", F.array().cast("array<struct<pivot:bigint,pvec:array<double>>>")).alias("offer"))
-        chosen = checkpointed(chosen.mapInArrow(_choose(least, True), ASSIGNED))
+        gone = _sized(lost)
+        done.append(local.join(gone, "pivot", "left_anti"))
+        moved = local.join(gone, "pivot", "left_semi")
+        stayed = pivots.join(_sized(lost.withColumnRenamed("pivot", "id")), "id", "left_anti")
+        to = _both_ways(near).join(_sized(lost.withColumnRenamed("pivot", "old")), "old", "left_semi")
+        chosen = checkpointed(meet_pivots(moved, to, stayed, _choose(least, False), ASSIGNED))
         done.append(chosen.filter("pivot is not null"))
         left = chosen.filter("pivot is null").select("id", "vec", "cell")
     out = done[0]
@@ -185,12 +220,7 @@ def closest_pivots(clusters: DataFrame, threshold: float) -> DataFrame:
     wide = float(np.cos(min(np.pi, 2 * np.arccos(least)))) - 1e-9
     pivots = clusters.filter("id = pivot").select("id", "vec", F.lit(0.0).alias("radius"))
     near = checkpointed(similar_pivots(pivots, lambda a, b: np.zeros(np.shape(a)) + wide))
-    own = near.select(F.col("a").alias("p")).unionByName(near.select(F.col("b").alias("p"))).distinct()
-    offers = _offers(_both_ways(near).unionByName(own.select(F.col("p").alias("old"), F.col("p").alias("pivot"))), pivots)
-    joined = clusters.join(offers, "pivot", "left")
-    fixed = joined.filter("offer is null or id = pivot").select("id", "vec", "cell", "pivot", "cosine")
-    moved = joined.filter("offer is not null and id != pivot").select("id", "vec", "cell", "offer").mapInArrow(_choose(least, True), ASSIGNED)
-    return fixed.unionByName(moved)
+    return meet_pivots(clusters, _both_ways(near), pivots, _choose(least, True), ASSIGNED)
 
 
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,33 +253,62 @@ def typical_members(clusters: DataFrame, most: int = 3) -> DataFrame:
     return listed.select(F.col("pivot").alias("cluster"), F.col("n").alias("members"), F.col("t")[0]["id"].alias("medoid"), F.col("t.id").alias("typical"))
 
 
-def _border(theta: float):
-    """Members that lie near enough to a neighbouring cluster to have a link into it."""
+BORDER = "a long, b long, first boolean, id long, vec array<double>"
+
+
+def _border(theta: float, most: int | None):
+    """Members that lie near enough to a neighbouring cluster to have a link into it; with `most` only the nearest of each bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
+    def run(m, o, theirs):
+        ids, pivot, v = m.column("id").to_numpy(), m.column("pivot").to_numpy(), matrix(m.column("vec"))
+        other, ov, radius = o.column("other").to_numpy(), matrix(o.column("ovec")), o.column("radius").to_numpy()
+        row, to = [np.empty(0, int)], [np.empty(0, np.int64)]
+        for p, a, z in _slices(pivot):
+            if p not in theirs:
                 continue
-            ids, pivot, v, offer = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2)), b.column(3)
-            row = np.repeat(np.arange(len(ids)), np.diff(offer.offsets.to_numpy()))
-            flat = offer.flatten()
-            q, qv, r = flat.field("other").to_numpy(), matrix(flat.field("ovec")), flat.field("oradius").to_numpy()
-            c = np.einsum("ij,ij->i", v[row], qv)
-            ok = np.arccos(np.clip(c, -1, 1)) <= r + theta + 1e-7
-            row, q, c = row[ok], q[ok], c[ok]
-            mine = pivot[row]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, q)), pa.array(np.maximum(mine, q)), pa.array(mine < q), pa.array(ids[row]), lists(v[row]), pa.array(c)], names=["a", "b", "first", "id", "vec", "near"])
+            x, y = theirs[p]
+            far = np.cos(np.minimum(np.pi, radius[x:y] + theta + 1e-7))
+            best: list = [None] * (y - x)
+            for i in range(a, z, 8192):
+                c = v[i : min(i + 8192, z)] @ ov[x:y].T
+                if most is None:
+                    r, k = np.nonzero(c >= far)
+                    row.append(i + r)
+                    to.append(other[x:y][k])
+                    continue
+                for k in np.flatnonzero((c >= far).any(0)):
+                    r = np.flatnonzero(c[:, k] >= far[k])
+                    new = np.stack([-c[r, k], ids[i + r], i + r], 1)
+                    both = new if best[k] is None else np.concatenate([best[k], new])
+                    best[k] = both[np.lexsort((both[:, 1], both[:, 0]))[:most]]
+            for k, b in enumerate(best):
+                if b is not None:
+                    row.append(b[:, 2].astype(int))
+                    to.append(np.full(len(b), other[x + k]))
+        row, to = np.concatenate(row), np.concatenate(to)
+        mine = pivot[row]
+        return pa.table({"a": np.minimum(mine, to), "b": np.maximum(mine, to), "first": mine < to, "id": ids[row], "vec": lists(v[row])})
 
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    return any((x[i : i + 1024] @ y[j : j + 8192].T >= least).any() for i in range(0, len(x), 1024) for j in range(0, len(y), 8192)) if len(x) and len(y) else False
+
+
 def _any_link(least: float):
+    """The pairs of clusters (a, b) of a group that have a link among the rows at hand; `part` keeps apart rows that are not to meet."""
+
     def run(key, t):
-        first = t.column("first").to_numpy()
-        v = matrix(t.column("vec"))
-        x, y = v[first], v[~first]
-        linked = any((x[i : i + 1024] @ y[j : j + 8192].T >= least).any() for i in range(0, len(x), 1024) for j in range(0, len(y), 8192)) if len(x) and len(y) else False
-        return pa.table({"a": pa.array([key[0].as_py()] * linked, pa.int64()), "b": pa.array([key[1].as_py()] * linked, pa.int64())})
+        t = t.sort_by([("a", "ascending"), ("b", "ascending")])
+        a, b, first, v = t.column("a").to_numpy(), t.column("b").to_numpy(), t.column("first").to_numpy(), matrix(t.column("vec"))
+        out = []
+        for p, x, z in _slices(a):
+            for q, y, w in _slices(b[x:z]):
+                rows = slice(x + y, x + w)
+                if _linked(v[rows][first[rows]], v[rows][~first[rows]], least):
+                    out.append((p, q))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     return run
 
@@ -268,17 +327,14 @@ def linked_groups(clusters: DataFrame, threshold: float, least_members: int = 3)
     heads = clusters.filter("id = pivot").select("id", "vec").join(stats.withColumnRenamed("pivot", "id"), "id")
     heads = checkpointed(heads.select("id", "vec", F.acos(F.least(F.lit(1.0), F.col("least"))).alias("radius")))
     near = checkpointed(similar_pivots(heads, lambda a, b: np.cos(np.minimum(np.pi, np.asarray(a) + np.asarray(b) + theta)) - 1e-9).select("a", "b"))
-    other = heads.select(F.col("id").alias("pivot"), F.col("vec").alias("ovec"), F.col("radius").alias("oradius"))
 
-    def border(pairs: DataFrame) -> DataFrame:
-        offers = _both_ways(pairs).join(other, "pivot").groupBy("old").agg(F.collect_list(F.struct(F.col("pivot").alias("other"), "ovec", "oradius")).alias("offer"))
-        rows = clusters.join(offers.withColumnRenamed("old", "pivot"), "pivot").select("id", "pivot", "vec", "offer")
-        return checkpointed(rows.mapInArrow(_border(theta), "a long, b long, first boolean, id long, vec array<double>, near double"))
+    def border(pairs: DataFrame, most: int | None) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("pivot")).union(pairs.select(F.col("b").alias("pivot"))).distinct()
+        return meet_pivots(clusters.join(_sized(ends), "pivot", "left_semi"), _both_ways(pairs), heads, _border(theta, most), BORDER)
 
-    edge = border(near)
-    rank = F.row_number().over(Window.partitionBy("a", "b", "first").orderBy(F.desc("near"), "id"))
-    some = edge.withColumn("rank", rank).filter(F.col("rank") <= NEAREST_FIRST).select("a", "b", "first", "vec")
-    links = checkpointed(some.groupBy("a", "b").applyInArrow(_any_link(least), "a long, b long"))
+    some = border(near, NEAREST_FIRST)
+    deal = F.pmod(F.xxhash64("a", "b"), F.lit(4 * cores(clusters.sparkSession)))
+    links = checkpointed(some.withColumn("bucket", deal).groupBy("bucket").applyInArrow(_any_link(least), "a long, b long"))
     roots = checkpointed(components(links, "a", "b"))
 
     def rooted(pairs: DataFrame, col: str) -> DataFrame:
@@ -286,7 +342,7 @@ def linked_groups(clusters: DataFrame, threshold: float, least_members: int = 3)
         return pairs.join(r, col, "left").withColumn(f"{col}_root", F.coalesce(f"{col}_root", col))
 
     open_ = checkpointed(rooted(rooted(near, "a"), "b").filter("a_root != b_root").select("a", "b"))
-    rest = edge.join(open_, ["a", "b"], "left_semi")
+    rest = checkpointed(border(open_, None))
     sizes = rest.groupBy("a", "b").agg(F.count_if("first").alias("x"), F.count_if(~F.col("first")).alias("y")).filter("x > 0 and y > 0")
     sizes = sizes.select("a", "b", F.ceil(F.col("x") / SLAB_ROWS).cast("int").alias("xs"), F.ceil(F.col("y") / SLAB_ROWS).cast("int").alias("ys"))
     rest = rest.join(sizes, ["a", "b"])
@@ -296,6 +352,7 @@ def linked_groups(clusters: DataFrame, threshold: float, least_members: int = 3)
     more = checkpointed(rest.groupBy("a", "b", "i", "j").applyInArrow(_any_link(least), "a long, b long").distinct())
     if more.limit(1).count():
         roots = checkpointed(components(links.unionByName(more), "a", "b"))
-    named = clusters.select("id", "pivot").join(roots.select(F.col("node").alias("pivot"), "root"), "pivot", "left").select("id", F.coalesce("root", "pivot").alias("root"))
-    groups = named.groupBy("root").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter(F.col("n") >= least_members)
-    return named.join(groups, "root").select("first_id", "id")
+    named = clusters.select("id", "pivot").join(_sized(roots.select(F.col("node").alias("pivot"), "root")), "pivot", "left").select("id", F.coalesce("root", "pivot").alias("root"))
+    named = checkpointed(named)
+    groups = checkpointed(named.groupBy("root").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter(F.col("n") >= least_members))
+    return named.join(_sized(groups.select("root", "first_id")), "root").select("first_id", "id")
