@@ -88,13 +88,15 @@ def _block_pairs(bound):
         ids, block, r, v = t.column("id").to_numpy(), t.column("block").to_numpy(), t.column("radius").to_numpy(), matrix(t.column("vec"))
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
+        single = v.astype(np.float32)  # finds the pairs, with room for its error; their cosines are taken in double
+        room = 2 * (v.shape[1] + 2) * 2.0**-24
         loosest = bound(r[a].max(), r[b].max()) if len(a) and len(b) else 2.0
         for x in range(0, len(a), 2048):
             for y in range(x if i == j else 0, len(b), 2048):
                 p, q = a[x : x + 2048], b[y : y + 2048]
-                s = v[p] @ v[q].T
-                hp, hq = np.nonzero(s >= loosest)
-                c, p, q = s[hp, hq], p[hp], q[hq]
+                hp, hq = np.nonzero(single[p] @ single[q].T >= np.float32(loosest - room))
+                p, q = p[hp], q[hq]
+                c = np.einsum("ij,ij->i", v[p], v[q])
                 keep = c >= bound(r[p], r[q])
                 if i == j:
                     keep &= p < q
