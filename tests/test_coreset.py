@@ -108,3 +108,32 @@ def test_regression_weights_equal_fit_then_predict(spark, items):
     beta = np.linalg.lstsq(x[inside], value[inside], rcond=None)[0]
     want = (worth[inside] * value[inside]).sum() + (worth[~inside] * (x[~inside] @ beta)).sum()
     assert sum(w[i] * value[i] for i in np.flatnonzero(inside)) == pytest.approx(want, rel=1e-6)
+
+
+def test_nth_greatest_by_counting(spark, monkeypatch):
+    """The same place by counting as by ordering: ties, infinities, one value for all rows."""
+    import random
+
+    random.seed(5)
+    for rows in ([(float(random.choice([1, 2, 2.5, 9])), i) for i in random.sample(range(10_000), 700)], [(random.random(), i) for i in range(700)], [(3.0, i) for i in range(700)], [(float("inf"), 1), (float("inf"), 0)] + [(1.0 / (1 + i), i) for i in range(2, 700)]):
+        df = spark.createDataFrame(rows, "v double, id long").cache()
+        want = sorted(rows, key=lambda r: (-r[0], r[1]))
+        monkeypatch.setattr(coreset, "TOP_ROWS", 40)
+        assert [coreset.nth_greatest(df, "v", "id", n) for n in (1, 41, 300, 700)] == [want[n - 1] for n in (1, 41, 300, 700)]
+    few = {r["id"] for r in coreset.uniform_sample(df.select("id"), 300, 7).collect()}
+    monkeypatch.setattr(coreset, "TOP_ROWS", 10_000)
+    assert len(few) == 300 and few == {r["id"] for r in coreset.uniform_sample(df.select("id"), 300, 7).collect()}
+
+
+def test_constrained_medians(spark):
+    import random
+
+    random.seed(6)
+    items = spark.createDataFrame([(i, [random.gauss(0, 1) for _ in range(4)], 1.0) for i in range(60)], "id long, vec array<double>, worth double")
+    chosen = coreset.p_median(items, 6, seed=2, rounds=2, swaps=1, restarts=2)
+    first = {r["id"] for r in chosen.collect()}
+    again = {r["id"]: r["kept"] for r in coreset.perturbed_median(items, chosen, seed=1).collect()}
+    assert len(again) == len(first) == 6 and {i for i, k in again.items() if k} <= first
+    assert sum(again.values()) == 3 and not {i for i, k in again.items() if not k} & first
+    with pytest.raises(ValueError):
+        coreset.p_median(items, 3, metric="euclidean")

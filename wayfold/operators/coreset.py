@@ -109,20 +109,65 @@ def outlier_count(n: int, tol: float) -> int:
     return max(1, int(n * tol))
 
 
-def center_objective(items: DataFrame, reps: DataFrame, tol: float, metric: str = "euclidean") -> DataFrame:
-    """One row (farthest, nth_farthest, mean): nearest distances of all items; the n-th farthest leaves outliers out.
+#: Rows that are ordered in one task at most; longer lists are narrowed down by counting first.
+TOP_ROWS = 10_000
+BINS = 1_024
+
+
+def nth_greatest(df: DataFrame, value: str, key: str, n: int) -> tuple[float, int]:
+    """(value, key) of the row at place `n`, counted from 1, by falling value and rising key; `df` has a number `value`
+    and a whole-number `key` in each row and at least `n` rows, and is read several times.
+
+    Short lists are ordered; for longer ones values are counted in BINS ranges, then those of the range that holds
+    the place, and so on, so no task orders more than TOP_ROWS rows."""
+    order = [F.desc("__v"), F.asc("__k")]
+    rows = df.select(F.col(value).cast("double").alias("__v"), F.col(key).cast("long").alias("__k"))
+    by_key = False
+    while n > TOP_ROWS:
+        x = -F.col("__k").cast("double") if by_key else F.col("__v")
+        lo, hi, m = rows.agg(F.min(x), F.max(x), F.count("*")).first()
+        if m <= TOP_ROWS:
+            break
+        if lo == hi:
+            if by_key:
+                break  # copies of one row
+            by_key = True
+            continue
+        at = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * BINS), F.lit(BINS - 1)) if hi - lo < float("inf") else (x == F.lit(hi)).cast("int")
+        counts = {r[0]: r[1] for r in rows.groupBy(at.alias("b")).count().collect()}
+        for b in sorted(counts, reverse=True):
+            if n <= counts[b]:
+                rows = rows.filter(at == b)
+                break
+            n -= counts[b]
+    last = rows.orderBy(*order).limit(n).agg(F.min(F.struct("__v", (-F.col("__k")).alias("m"))).alias("e")).first()["e"]
+    return last["__v"], -last["m"]
+
 
-    The n-th value comes from a bounded top list when n is small, else from a global order of one column."""
+def center_objective(items: DataFrame, reps: DataFrame, tol: float, metric: str = "euclidean") -> DataFrame:
+    """One row (farthest, nth_farthest, mean): nearest distances of all items; the n-th farthest leaves outliers out."""
     near = checkpointed(nearest(items, reps, 1, metric).select("id", "distance"))
     s = near.agg(F.max("distance").alias("farthest"), F.avg("distance").alias("mean"), F.count("*").alias("n")).first()
-    nth = near.orderBy(F.desc("distance"), F.desc("id")).limit(outlier_count(s["n"], tol)).agg(F.min("distance").alias("nth")).first()["nth"]
     spark = items.sparkSession
+    nth = nth_greatest(near, "distance", "id", outlier_count(s["n"], tol))[0] if s["n"] else None
     return spark.createDataFrame([(s["farthest"], nth, s["mean"])], "farthest double, nth_farthest double, mean double")
 
 
 def uniform_sample(items: DataFrame, n: int, seed: int) -> DataFrame:
-    """Exactly n items (or all), by seeded hash of the id; the same ones for any order or partitioning of rows."""
-    return items.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    """Exactly n items (or all), by seeded hash of the id; the same ones for any order or partitioning of rows. The place
+    where the sample ends is found first when it is long, so no task orders the whole sample. `items` has one row for each id."""
+    h = F.xxhash64(F.lit(seed), "id")
+    if n <= TOP_ROWS:
+        return items.orderBy(h, "id").limit(n)
+    hashed = checkpointed(items.select(F.col("id").cast("long").alias("id"), h.alias("__h")))
+    if hashed.count() <= n:
+        return items
+    # hashes are whole numbers; their upper half is exact as a number, ties within it are ordered by the rest
+    upper = hashed.withColumn("__u", -F.shiftright("__h", 32).cast("double"))
+    edge = -nth_greatest(upper, "__u", "id", n)[0]
+    below = upper.filter(-F.col("__u") < edge)
+    rest = upper.filter(-F.col("__u") == edge).orderBy("__h", "id").limit(n - below.count())
+    return items.join(below.select("id").unionByName(rest.select("id")), "id", "left_semi")
 
 
 def k_center(items: DataFrame, n: int, seed: int = 0, tol: float = 0.1, repeat: int = 1) -> DataFrame:
@@ -146,25 +191,26 @@ def k_center(items: DataFrame, n: int, seed: int = 0, tol: float = 0.1, repeat:
                         d = np.sqrt(((_matrix(b.column(1)) - v) ** 2).sum(1))
                         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.minimum(d, b.column(2).to_numpy()))], names=["id", "vec", "far"])
 
-            state = state.mapInArrow(run, state.schema)
-            if len(taken) % 4 == 0:
-                state = checkpointed(state)
-            edge = state.select("id", "far").orderBy(F.desc("far"), "id").limit(skip).agg(F.min(F.struct("far", (-F.col("id")).alias("m"))).alias("e")).first()["e"]
+            state = checkpointed(state.mapInArrow(run, state.schema))
+            far, at = nth_greatest(state, "far", "id", skip)
             if len(taken) >= min(n, total):
                 break
-            taken.append(-edge["m"])
-        if best is None or edge["far"] < best[0]:
-            best = edge["far"], taken
+            taken.append(at)
+        if best is None or far < best[0]:
+            best = far, taken
     rows = [(i + 1, x, best[0]) for i, x in enumerate(best[1])] if best else []
     return spark.createDataFrame(rows, "rank int, id long, delta double")
 
 
-def p_median(items: DataFrame, p: int, seed: int = 0, rounds: int = 5, swaps: int = 3, metric: str = "cosine") -> DataFrame:
+def p_median(items: DataFrame, p: int, seed: int = 0, rounds: int = 5, swaps: int = 3, metric: str = "cosine", restarts: int = 1, keep: DataFrame | None = None, never: DataFrame | None = None) -> DataFrame:
     """(id, obj): p-median by alternation (assign items, move each representative to its cluster's best member) and random
-    swaps that are kept when they help, until a round does not.
+    swaps that are kept when they help, until a round does not; the best of `restarts` starts. Representatives in `keep`
+    (id) stay, those in `never` (id) are not taken; others than the cosine metric are refused.
 
     With unit vectors the best member under cosine distance maximises the product with the sum of its cluster's
     vectors, so a cluster of any size costs one grouped sum and one grouped maximum, never all pairs."""
+    if metric != "cosine":
+        raise ValueError("representatives move by the sum of unit vectors, which is right for cosine distances only")
     plain = items.select(F.col("id").cast("long").alias("id"), "vec", F.col("worth").cast("double").alias("worth"))
     sized = computed_once(plain, length=F.sqrt(dot("vec", "vec")))
     base = checkpointed(sized.select("id", F.transform("vec", lambda x: x / F.col("length")).alias("vec"), "worth"))
@@ -173,29 +219,41 @@ def p_median(items: DataFrame, p: int, seed: int = 0, rounds: int = 5, swaps: in
         near = nearest(base, reps, 1, metric)
         return near.join(base.select("id", "worth"), "id").agg(F.sum(F.col("distance") * F.col("worth"))).first()[0] or 0.0
 
-    reps = checkpointed(uniform_sample(base, p, seed))
-    obj = cost(reps)
-    for r in range(rounds):
-        before = obj
-        near = nearest(base, reps, 1, metric).select("id", "rep").join(base, "id")
-        flat = near.select("rep", "worth", F.posexplode("vec").alias("dim", "x")).groupBy("rep", "dim").agg(F.sum(F.col("x") * F.col("worth")).alias("s"))
-        sums = flat.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("dim", "s"))).alias("t")).select("rep", F.col("t.s").alias("total"))
-        score = F.aggregate(F.zip_with("vec", "total", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        moved = near.join(sums, "rep").groupBy("rep").agg(F.max(F.struct(F.round(score, 9), (-F.col("id")).alias("m"))).alias("b"))
-        moved = checkpointed(moved.select((-F.col("b.m")).alias("id")).join(base, "id"))
-        new = cost(moved)
-        if new < obj - 1e-12:
-            reps, obj = moved, new
-        for s in range(swaps):
-            out = reps.orderBy(F.xxhash64(F.lit(seed * 1000 + r * 100 + s), "id")).limit(1).select("id")
-            fresh = uniform_sample(base.join(reps.select("id"), "id", "left_anti"), 1, seed * 7919 + r * 100 + s)
-            trial = checkpointed(reps.join(out, "id", "left_anti").unionByName(fresh))
-            new = cost(trial)
-            if new < obj - 1e-12:
-                reps, obj = trial, new
-        if obj >= before - 1e-12:
-            break
-    return reps.select("id", F.lit(obj).alias("obj"))
+    free = base if never is None else base.join(never.select("id"), "id", "left_anti")
+    stay = base.limit(0) if keep is None else checkpointed(base.join(keep.select("id"), "id", "left_semi"))
+    kept = stay.count()
+    open_ = free if keep is None else free.join(stay.select("id"), "id", "left_anti")
+    best: tuple[float, DataFrame] | None = None
+    for start in range(restarts):
+        own = seed + 104_729 * start
+        reps = checkpointed(stay.unionByName(uniform_sample(open_, max(0, p - kept), own).select(base.columns)))
+        obj = cost(reps)
+        for r in range(rounds):
+            before = obj
+            near = nearest(base, reps, 1, metric).select("id", "rep").join(base, "id")
+            flat = near.select("rep", "worth", F.posexplode("vec").alias("dim", "x")).groupBy("rep", "dim").agg(F.sum(F.col("x") * F.col("worth")).alias("s"))
+            sums = flat.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("dim", "s"))).alias("t")).select("rep", F.col("t.s").alias("total"))
+            score = F.aggregate(F.zip_with("vec", "total", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+            moving = near if keep is None else near.join(stay.select(F.col("id").alias("rep")), "rep", "left_anti")
+            moving = moving if never is None else moving.join(never.select("id"), "id", "left_anti")
+            moved = moving.join(sums, "rep").groupBy("rep").agg(F.max(F.struct(F.round(score, 9), (-F.col("id")).alias("m"))).alias("b"))
+            moved = stay.unionByName(moved.select((-F.col("b.m")).alias("id")).join(base, "id").join(stay.select("id"), "id", "left_anti").select(base.columns))
+            moved = checkpointed(moved)
+            new = cost(moved)
+            if new < obj - 1e-12 and moved.count() == reps.count():
+                reps, obj = moved, new
+            for s in range(swaps):
+                out = reps.join(stay.select("id"), "id", "left_anti").orderBy(F.xxhash64(F.lit(own * 1000 + r * 100 + s), "id")).limit(1).select("id")
+                fresh = uniform_sample(open_.join(reps.select("id"), "id", "left_anti"), 1, own * 7919 + r * 100 + s)
+                trial = checkpointed(reps.join(out, "id", "left_anti").unionByName(fresh.select(reps.columns)))
+                new = cost(trial)
+                if new < obj - 1e-12 and trial.count() == reps.count():
+                    reps, obj = trial, new
+            if obj >= before - 1e-12:
+                break
+        if best is None or obj < best[0]:
+            best = obj, reps
+    return best[1].select("id", F.lit(best[0]).alias("obj"))
 
 
 def exact_median(items: DataFrame, p: int, metric: str = "cosine") -> DataFrame:
@@ -213,25 +271,13 @@ def exact_median(items: DataFrame, p: int, metric: str = "cosine") -> DataFrame:
     return items.sparkSession.createDataFrame([([ids[i] for i in best], obj)], "ids array<long>, obj double")
 
 
-def perturbed_median(items: DataFrame, chosen: DataFrame, seed: int = 0) -> DataFrame:
-    """(id, kept): half of the chosen stay, the other half is forbidden and replaced by the items nearest to it that were
-    not chosen, each once; ties by id."""
+def perturbed_median(items: DataFrame, chosen: DataFrame, seed: int = 0, rounds: int = 2, swaps: int = 1) -> DataFrame:
+    """(id, kept): half of the chosen stay, the other half is forbidden, and the p-median is searched again under both."""
+    chosen = checkpointed(chosen.select("id"))
     n = chosen.count()
-    kept = uniform_sample(chosen.select("id"), n // 2, seed)
-    out = checkpointed(chosen.select("id").join(kept, "id", "left_anti").join(items.select("id", "vec"), "id"))
-    free = items.join(chosen.select("id"), "id", "left_anti")
-    near = checkpointed(nearest(out, free, max(1, n), "cosine").select("id", "rep", "distance"))
-    taken: set[int] = set()
-    replaced: set[int] = set()
-    pick = []  # as many as half of the chosen
-    for r in near.orderBy("distance", "id", "rep").toLocalIterator():
-        if r["id"] in replaced or r["rep"] in taken:
-            continue
-        pick.append((r["id"], r["rep"]))
-        replaced.add(r["id"])
-        taken.add(r["rep"])
-    new = items.sparkSession.createDataFrame([(b, False) for _, b in pick], "id long, kept boolean")
-    return kept.select("id", F.lit(True).alias("kept")).unionByName(new)
+    kept = checkpointed(uniform_sample(chosen, n // 2, seed).select("id"))
+    again = p_median(items, n, seed + 1, rounds, swaps, keep=kept, never=chosen.join(kept, "id", "left_anti"))
+    return again.select("id").join(kept.withColumn("kept", F.lit(True)), "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def sample_batch(items: DataFrame, sizes: list[float], seeds: list[int]) -> DataFrame:

@@ -301,4 +301,4 @@ def kcenter_select(spark, sf):
 
 @query("pmedian_heuristic")
 def pmedian_heuristic(spark, sf):
-    return coreset.p_median(_items(spark, sf), 10, seed=1, rounds=3, swaps=1)
+    return coreset.p_median(_items(spark, sf), 10, seed=1, rounds=3, swaps=1, restarts=2)
