@@ -137,3 +137,20 @@ def test_constrained_medians(spark):
     assert sum(again.values()) == 3 and not {i for i, k in again.items() if not k} & first
     with pytest.raises(ValueError):
         coreset.p_median(items, 3, metric="euclidean")
+
+
+def test_weights_of_blends_add_up(spark):
+    """Weights times values are the totals that the blends predict directly."""
+    import random
+
+    random.seed(7)
+    rows = [(i, [random.gauss(0, 1) for _ in range(3)], float(1 + i % 4), random.gauss(2, 1)) for i in range(80)]
+    items = spark.createDataFrame(rows, "id long, vec array<double>, worth double, y double")
+    reps = items.filter("id % 8 = 0")
+    near = coreset.nearest(items, reps, 1).select("id", "rep")
+    y = {r[0]: r[3] for r in rows}
+    total = sum(r["weight"] * y[r["rep"]] for r in learn.boosted_weights(items, reps, near).collect())
+    assert total == pytest.approx(learn.boosted_total(items, reps, near).first()["total"])
+    parts = [sum(r["weight"] * y[r["rep"]] for r in w.collect()) for w in (coreset.assignment_weights(items, reps, near), learn.regression_weights(items, reps))]
+    blend = sum(r["weight"] * y[r["rep"]] for r in learn.bagged_weights(items, reps, near, 0.25).collect())
+    assert blend == pytest.approx(0.25 * parts[0] + 0.75 * parts[1])

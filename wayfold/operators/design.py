@@ -156,6 +156,25 @@ def greedy(problem: Problem, budget: float, per_cost: bool = False) -> DataFrame
     return problem.base.sparkSession.createDataFrame(rows, "step int, proj long, allocated double, score double, selected array<long>")
 
 
+def bounded_greedy(problem: Problem, budget: float, loss, bound: float, widen: float) -> DataFrame:
+    """(step, proj, allocated, score, bound, selected): greedy by absolute gain over designs whose `loss` (a function of a
+    list of projects) is at most `bound`; where no affordable project that gains meets it, the bound is widened by `widen` and
+    the step is searched again."""
+    opened, allocated, rows = [], 0.0, []
+    while allocated < budget:
+        able = candidate_gains(problem, opened).filter((F.col("cost") > 0) & (F.col("cost") <= budget - allocated) & (F.col("gain") > 0))
+        order = able.orderBy(F.desc("gain"), "proj").collect()  # projects
+        if not order:
+            break
+        losses = [loss(sorted([*opened, int(r["proj"])])) for r in order]
+        while not (fits := [r for r, x in zip(order, losses) if x <= bound]):
+            bound += widen
+        opened = [*opened, int(fits[0]["proj"])]
+        allocated += float(fits[0]["cost"])
+        rows.append((len(rows) + 1, opened[-1], allocated, float(fits[0]["score"]), float(bound), list(opened)))
+    return problem.base.sparkSession.createDataFrame(rows, "step int, proj long, allocated double, score double, bound double, selected array<long>")
+
+
 def all_designs(costs: DataFrame, most_projects: int, budget: float) -> DataFrame:
     """(scen, open, cost) of every affordable set of projects; scen is the set as bits. Meant for up to some 15 projects,
     as there are 2^n sets; more than `most_projects` raise. Sets are made in parallel from their numbers."""

@@ -152,3 +152,32 @@ def regression_weights(items: DataFrame, reps: DataFrame, ridge: float = 1e-6) -
         total[r["k"]] = r["s"]
     beta = np.linalg.solve(a + ridge * np.eye(len(a)), total)
     return predict(reps, beta).select(F.col("id").alias("rep"), (F.col("prediction") + F.col("worth")).alias("weight"))
+
+
+def bagged_weights(items: DataFrame, reps: DataFrame, assigned: DataFrame, share: float = 0.5, ridge: float = 1e-6) -> DataFrame:
+    """(rep, weight): `share` of the weights by nearest representatives and the rest of those of a fit."""
+    from wayfold.operators.coreset import assignment_weights
+
+    near = assignment_weights(items, reps, assigned).select("rep", (F.col("weight") * share).alias("weight"))
+    fit = regression_weights(items, reps, ridge).select("rep", (F.col("weight") * (1 - share)).alias("weight"))
+    return near.unionByName(fit).groupBy("rep").agg(F.sum("weight").alias("weight"))
+
+
+def boosted_weights(items: DataFrame, reps: DataFrame, assigned: DataFrame, ridge: float = 1.0) -> DataFrame:
+    """(rep, weight): nearest representatives' values corrected by a fit of what each representative's nearest other one
+    gets wrong. The fit is linear in the values: with z the pull of the fit on a representative, it counts for its assigned
+    potential, plus z, less the z of those whose nearest other one it is."""
+    from wayfold.operators.coreset import assignment_weights, nearest
+
+    near = assignment_weights(items, reps, assigned)
+    own = reps.select(F.col("id").alias("rep"), "worth")
+    pull = regression_weights(items, reps, ridge).join(own, "rep").select("rep", (F.col("weight") - F.col("worth")).alias("z"))
+    other = nearest(reps, reps, 2).filter("place = 2").select(F.col("id").alias("rep"), F.col("rep").alias("other")).join(pull, "rep")
+    parts = near.unionByName(pull.select("rep", F.col("z").alias("weight"))).unionByName(other.select(F.col("other").alias("rep"), (-F.col("z")).alias("weight")))
+    return parts.groupBy("rep").agg(F.sum("weight").alias("weight"))
+
+
+def fit_loss(values: DataFrame, ridge: float = 1e-6) -> float:
+    """Sum of absolute errors of a fit of y on vec."""
+    fit = least_squares(values, ridge)
+    return predict(values, fit).agg(F.sum(F.abs(F.col("y") - F.col("prediction")))).first()[0] or 0.0

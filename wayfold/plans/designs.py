@@ -325,20 +325,58 @@ def regression_weights(spark, sf):
     return learn.regression_weights(items, items.filter("id % 10 = 0"), ridge=1.0).select("rep", F.round("weight", 6).alias("weight"))
 
 
-@query("regression_design")
-def regression_design(spark, sf):
-    """Greedy design on representatives weighted so that a fit predicts all other pairs; every step scored on all pairs."""
+def _weighted_design(spark, sf, weigh):
+    """Greedy design on representatives with the given weights; every step scored on all pairs."""
     from wayfold.session import checkpointed
 
     p = problem(spark, sf)
     items = checkpointed(_pair_items(spark, sf, p))
-    w = learn.regression_weights(items, items.filter("id % 10 = 0"), ridge=1.0)
+    w = weigh(items, items.filter("id % 10 = 0"))
     small = p.pairs.drop("weight").join(w.select(F.col("rep").alias("od_id"), "weight"), "od_id")
     g = design.greedy(design.Problem(p.base, p.project_edges, p.costs, small, p.cutoff), 24)
     full = p.score(g.select(F.col("step").cast("long").alias("scen"), F.col("selected").alias("open"))).select(F.col("scen").cast("int").alias("step"), F.col("score").alias("full_score"))
     return g.join(full, "step")
 
 
+@query("regression_design")
+def regression_design(spark, sf):
+    """Representatives weighted so that a fit predicts all other pairs."""
+    return _weighted_design(spark, sf, lambda i, r: learn.regression_weights(i, r, ridge=1.0))
+
+
+@query("bagged_design")
+def bagged_design(spark, sf):
+    """Representatives weighted half by nearest ones and half by a fit."""
+    return _weighted_design(spark, sf, lambda i, r: learn.bagged_weights(i, r, coreset.nearest(i, r, 1).select("id", "rep"), 0.5, 1.0))
+
+
+@query("boosted_design")
+def boosted_design(spark, sf):
+    """Representatives weighted by nearest ones, corrected by a fit of what those get wrong."""
+    return _weighted_design(spark, sf, lambda i, r: learn.boosted_weights(i, r, coreset.nearest(i, r, 1).select("id", "rep")))
+
+
+@query("regression_bounded_design")
+def regression_bounded_design(spark, sf):
+    """Design of the regression weights among those whose fit on the representatives' own values errs by at most a bound,
+    widened by a tenth of their number where no project meets it."""
+    from wayfold.session import checkpointed
+
+    p = problem(spark, sf, 12)
+    items = checkpointed(_pair_items(spark, sf, p))
+    reps = checkpointed(items.filter("id % 10 = 0"))
+    w = learn.regression_weights(items, reps, ridge=1.0)
+    small = p.pairs.drop("weight").join(w.select(F.col("rep").alias("od_id"), "weight"), "od_id")
+    q = design.Problem(p.base, p.project_edges, p.costs, small, p.cutoff)
+    n = reps.count()
+
+    def loss(opened):
+        near = q.with_open(opened).base_values.select(F.col("od_id").alias("id"), F.lit(1.0).alias("v"))
+        return learn.fit_loss(reps.select("id", "vec").join(near, "id", "left").select("vec", F.coalesce("v", F.lit(0.0)).alias("y")), 1.0)
+
+    return design.bounded_greedy(q, 20, loss, 0.1 * n, 0.1 * n)
+
+
 EQUITY_SQL = ENUM_SQL.replace("score AS (", "flat_score AS (") + "," + GROUPS_SQL + """,
 gains AS (SELECT en.scen, g.grp, CAST(sum(p.population) AS DOUBLE) AS gain FROM en JOIN od ON od.orig = en.orig AND od.des = en.node JOIN pot p ON p.node = en.node JOIN grp g ON g.orig = en.orig GROUP BY en.scen, g.grp),
 cells AS (SELECT s.scen, g.grp, coalesce(x.gain, 0) AS gain FROM sets s CROSS JOIN (SELECT DISTINCT grp FROM grp) g LEFT JOIN gains x ON x.scen = s.scen AND x.grp = g.grp),

@@ -198,23 +198,39 @@ def routes_per_od(spark, sf):
     return g.select("od_id", F.size("x").alias("routes"), F.array_join(F.col("x.s"), "|").alias("joined"))
 
 
-@query("utility_candidates", UTIL_SQL + """, prj AS (SELECT unnest(range(0, 6)) AS proj), c AS (SELECT proj, route_id, pos, (a * 3 + b) % 4 < 1 OR (a + 2 * b) % 6 = proj AS c FROM st, prj),
-i AS (SELECT proj, route_id, pos, c, pos - row_number() OVER (PARTITION BY proj, route_id, c ORDER BY pos) AS island FROM c),
-sc AS (SELECT proj, route_id, sum(n * power(1.02, n)) AS score FROM (SELECT proj, route_id, island, count(*) AS n FROM i WHERE c GROUP BY proj, route_id, island) GROUP BY proj, route_id),
-v AS (SELECT p.proj, r.od_id, r.route_id, coalesce(sc.score, 0) - vb.v_bar AS v FROM routes r CROSS JOIN prj p LEFT JOIN sc ON sc.route_id = r.route_id AND sc.proj = p.proj JOIN vb ON vb.route_id = r.route_id),
-u AS (SELECT proj, od_id, sum(exp(v - m) * v) / sum(exp(v - m)) AS utility FROM (SELECT *, max(v) OVER (PARTITION BY proj, od_id) AS m FROM v) GROUP BY proj, od_id)
-SELECT proj, round(sum(utility), 3) AS obj FROM u GROUP BY proj""")
-def utility_candidates(spark, sf):
-    """Route-choice objective of opening each project on top of what is open, all projects in one job: the step of a
-    search for designs under route choice."""
+UTILITY_SETS_SQL = UTIL_SQL + """, prj AS (SELECT unnest(range(0, 6)) AS proj), sets AS (SELECT p.proj AS p, q.proj AS q FROM prj p, prj q WHERE WHICH),
+c AS (SELECT p, q, route_id, pos, (a * 3 + b) % 4 < 1 OR (a + 2 * b) % 6 IN (p, q) AS c FROM st, sets),
+i AS (SELECT p, q, route_id, pos, c, pos - row_number() OVER (PARTITION BY p, q, route_id, c ORDER BY pos) AS island FROM c),
+sc AS (SELECT p, q, route_id, sum(n * power(1.02, n)) AS score FROM (SELECT p, q, route_id, island, count(*) AS n FROM i WHERE c GROUP BY p, q, route_id, island) GROUP BY p, q, route_id),
+v AS (SELECT s.p, s.q, r.od_id, r.route_id, coalesce(sc.score, 0) - vb.v_bar AS v FROM routes r CROSS JOIN sets s LEFT JOIN sc ON sc.route_id = r.route_id AND sc.p = s.p AND sc.q = s.q JOIN vb ON vb.route_id = r.route_id),
+u AS (SELECT p, q, od_id, sum(exp(v - m) * v) / sum(exp(v - m)) AS utility FROM (SELECT *, max(v) OVER (PARTITION BY p, q, od_id) AS m FROM v) GROUP BY p, q, od_id),
+o AS (SELECT p, q, round(sum(utility), 3) AS obj FROM u GROUP BY p, q)"""
+
+
+def _utility_of_sets(spark, sf, sets: list[tuple[int, int]]):
+    """(p, q, obj): the route-choice objective with the projects of each set open on top of what is open, all sets in one
+    job. Routes are made once and scored in array expressions."""
     r = _routes(spark, sf)
-    bars = access.route_overlap(r)
-    runs = r.select(F.explode(F.sequence(F.lit(0), F.lit(5))).alias("proj"), "route_id", "od_id", "nodes")
-    steps = runs.select("proj", "route_id", "od_id", F.transform(C.consecutive_pairs(F.col("nodes")), lambda e: ((e["a"] * 3 + e["b"]) % 4 < 1) | ((e["a"] + 2 * e["b"]) % 6 == F.col("proj"))).alias("covered"))
-    v = steps.join(bars, "route_id").select("proj", "od_id", "route_id", (C.run_score(F.col("covered"), 1.02) - F.col("v_bar")).alias("v"))
-    listed = v.groupBy("proj", "od_id").agg(F.sort_array(F.collect_list(F.struct("route_id", "v"))).alias("x"))
-    u = listed.select("proj", C.softmax_expectation(F.transform("x", lambda x: x["v"])).alias("u"))
-    return u.groupBy("proj").agg(F.round(F.sum("u"), 3).alias("obj")).select(F.col("proj").cast("long").alias("proj"), "obj")
+    every = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(q).cast("long").alias("q")) for p, q in sets])
+    runs = r.join(access.route_overlap(r), "route_id").select("route_id", "od_id", "v_bar", C.consecutive_pairs(F.col("nodes")).alias("steps"))
+    runs = runs.withColumn("s", F.explode(every))
+    hit = lambda e: ((e["a"] * 3 + e["b"]) % 4 < 1) | ((e["a"] + 2 * e["b"]) % 6).isin(F.col("s.p"), F.col("s.q"))
+    v = runs.withColumn("covered", F.transform("steps", hit)).select("s", "od_id", "route_id", (C.run_score(F.col("covered"), 1.02) - F.col("v_bar")).alias("v"))
+    listed = v.groupBy("s", "od_id").agg(F.sort_array(F.collect_list(F.struct("route_id", "v"))).alias("x"))
+    u = listed.select("s", C.softmax_expectation(F.transform("x", lambda x: x["v"])).alias("u"))
+    return u.groupBy("s").agg(F.round(F.sum("u"), 3).alias("obj")).select("s.p", "s.q", "obj")
+
+
+@query("utility_candidates", UTILITY_SETS_SQL.replace("WHICH", "p.proj = q.proj") + " SELECT p AS proj, obj FROM o")
+def utility_candidates(spark, sf):
+    """The step of a search under route choice: the objective with each project opened alone."""
+    return _utility_of_sets(spark, sf, [(p, p) for p in range(6)]).select(F.col("p").alias("proj"), "obj")
+
+
+@query("utility_design", UTILITY_SETS_SQL.replace("WHICH", "p.proj < q.proj") + " SELECT p, q, obj FROM o ORDER BY obj DESC, p, q LIMIT 1")
+def utility_design(spark, sf):
+    """The two projects that are best together under route choice, among all pairs of them."""
+    return _utility_of_sets(spark, sf, [(p, q) for p in range(6) for q in range(p + 1, 6)]).orderBy(F.desc("obj"), "p", "q").limit(1)
 
 
 @query("experiment_grid", "SELECT b AS budget, s AS size, k AS seed FROM (SELECT unnest([100, 300, 500]) AS b), (SELECT unnest([CAST(0.01 AS DOUBLE), 0.05, 0.1]) AS s), (SELECT unnest(range(0, 10)) AS k)")
