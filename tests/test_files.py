@@ -34,3 +34,12 @@ def test_chunks_lines_and_literals(spark, tmp_path):
     assert line == '{"type":"LineString","coordinates":[[0.0,0.5],[1.0,2.0]]}'
     t = spark.createDataFrame([("[1, 2]",), ("[]",), ("x",), (None,)], "s string")
     assert [r[0] for r in t.select(C.list_literal(F.col("s"))).collect()] == [[1, 2], [], None, None]
+
+
+def test_vectors_are_kept(spark, tmp_path):
+    from wayfold.operators import walks
+
+    df = spark.createDataFrame([(1, [0.5, 1.0]), (2, None)], "id long, vec array<double>")
+    for _ in range(2):
+        walks.save_vectors(df, str(tmp_path / "v"))
+    assert sorted(map(tuple, walks.load_vectors(spark, str(tmp_path / "v")).collect())) == [(1, [0.5, 1.0]), (2, None)]

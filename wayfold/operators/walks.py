@@ -45,3 +45,13 @@ def word_vectors(walks: DataFrame, size: int, window: int = 5, epochs: int = 5,
     words = walks.select(F.col("nodes").cast("array<string>").alias("words"))
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, maxIter=epochs, seed=seed, inputCol="words", outputCol="out").fit(words)
     return model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("vec"))
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """Writes (id, vec), replacing what is there."""
+    vectors.select("id", "vec").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark, path: str) -> DataFrame:
+    """(id, vec) as `save_vectors` wrote them."""
+    return spark.read.parquet(path).select("id", "vec")
