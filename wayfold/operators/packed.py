@@ -175,14 +175,15 @@ def best_parse(field: str, code: dict[str, float], escape: float) -> list[tuple[
 def _count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for b in batches:
+        values: Counter = Counter()  # each value of a batch is taken apart once
         for field in b.column(0).to_pylist():
             body = strip_list(field or "")
             tries = dialects(body)
             for q in tries:
-                values = parse_bare(body) if len(tries) == 1 else parse(body, q)[0]
-                for _, v in values:
-                    for s, n in steps(v):
-                        seen[s] += n
+                values.update(t for t in _BARE.findall(body) if t[0].isalnum() or t[0] in "._-") if len(tries) == 1 else values.update(v for _, v in parse(body, q)[0])
+        for v, m in values.items():
+            for s, n in steps(v):
+                seen[s] += n * m
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["step", "n"])
 
