@@ -136,6 +136,13 @@ grid AS (SELECT i.item, s.scen, coalesce(round(c.t, 6), 0) AS t FROM ids i CROSS
 wide AS (SELECT item AS id, list(t ORDER BY scen) AS vec FROM grid GROUP BY item)"""
 
 
+def _scenario_cells(e):
+    """(scen, id, t) of the events; t is null, which counts as 0, where the scenario, the item or all values are null."""
+    item = ((F.ascii("event_type") * 31 + F.length("event_type")) % 97 * 100 + F.dayofmonth("ts")).cast("long")
+    cells = e.groupBy(F.col("user_id").alias("scen"), item.alias("id")).agg(F.round(F.avg("value"), 6).alias("t"))
+    return cells.withColumn("t", F.when(F.col("scen").isNotNull() & F.col("id").isNotNull(), F.col("t")))
+
+
 def _scenario_items(spark, sf):
     e = table(spark, sf, "events")
     item = ((F.ascii("event_type") * 31 + F.length("event_type")) % 97 * 100 + F.dayofmonth("ts")).cast("long")
@@ -146,6 +153,16 @@ def _scenario_items(spark, sf):
     return rows.join(F.broadcast(scens), "one").select("id", F.transform("scens", lambda s: F.coalesce(F.element_at("m", s), F.lit(0.0))).alias("vec"))
 
 
+def scenario_stats(events):
+    """(id, sd, m, least) of each item's vector: population spread, mean and least element. Cells are summed up and the
+    elements without one counted, so no vector is made."""
+    n = F.broadcast(events.agg((F.countDistinct("user_id") + F.coalesce(F.max(F.col("user_id").isNull().cast("int")), F.lit(0))).alias("n")))
+    cells = _scenario_cells(events).groupBy("id").agg(F.count("t").cast("double").alias("k"), F.coalesce(F.avg("t"), F.lit(0.0)).alias("a"), F.coalesce(F.var_pop("t"), F.lit(0.0)).alias("v"), F.min("t").alias("least"))
+    squares = F.col("v") * F.col("k") + F.col("a") * F.col("a") * F.col("k") * (F.col("n") - F.col("k")) / F.col("n")
+    least = F.when(F.col("k") < F.col("n"), F.least("least", F.lit(0.0))).otherwise(F.col("least"))
+    return cells.crossJoin(n).select("id", F.sqrt(squares / F.col("n")).alias("sd"), (F.col("a") * F.col("k") / F.col("n")).alias("m"), least.alias("least"))
+
+
 RATIO_SQL = SCEN_SQL + """, sim AS (SELECT a.id AS i, b.id AS j, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: least(z[1] / (z[2] + 0.001), z[2] / (z[1] + 0.001)))) AS w FROM wide a, wide b WHERE a.id < b.id)"""
 
 
@@ -202,8 +219,7 @@ def weights_merge(spark, sf):
 
 @query("std_by_od", SCEN_SQL + " SELECT id, round(list_aggregate(vec, 'stddev_pop'), 6) AS sd, round(list_min(vec), 6) AS least FROM wide")
 def std_by_od(spark, sf):
-    rows = _scenario_items(spark, sf).select("id", F.explode("vec").alias("x"))
-    return rows.groupBy("id").agg(F.round(F.stddev_pop("x"), 6).alias("sd"), F.round(F.min("x"), 6).alias("least"))
+    return scenario_stats(table(spark, sf, "events")).select("id", F.round("sd", 6).alias("sd"), F.round("least", 6).alias("least"))
 
 
 @query("merged_matrix", SCEN_SQL + " SELECT scen, item, round(sum(t), 6) AS t FROM (SELECT scen, item, t FROM cells UNION ALL SELECT scen, item, t FROM cells WHERE scen % 2 = 0) GROUP BY scen, item")
