@@ -11,7 +11,7 @@ EVENTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["std_by_od"])
+@pytest.mark.parametrize("name", ["std_by_od", "distributional_features"])
 def test_events_without_a_scenario_item_or_value(spark, tmp_path, name):
     """A scenario that is null is one of all zeros, an item that is null too; a mean that is null is 0."""
     day = datetime(2024, 1, 5)

@@ -8,7 +8,7 @@ from wayfold.functions import columns as C
 from wayfold.operators import coreset, similarity
 from wayfold.plans.base import NET, OD, query, with_net
 from wayfold.plans.network import Network
-from wayfold.session import table
+from wayfold.session import checkpointed, table
 
 #: Representatives here are the vectors whose number divides by 25; the potential of a vector is its label plus one.
 VEC_SQL = """WITH items AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label + 1 AS worth, label FROM embeddings),
@@ -242,8 +242,8 @@ def zscore_features(spark, sf):
 @query("distributional_features", SCEN_SQL + """, f AS (SELECT id, list_min(vec) AS lo, list_aggregate(vec, 'stddev_pop') AS sd, list_avg(vec) AS m FROM wide), g AS (SELECT id, lo, sd, m * sd AS scaled FROM f)
 SELECT id, round((sd - (SELECT avg(sd) FROM g)) / (SELECT stddev_pop(sd) FROM g), 6) AS z_sd, round((scaled - (SELECT avg(scaled) FROM g)) / (SELECT stddev_pop(scaled) FROM g), 6) AS z_scaled FROM g""")
 def distributional_features(spark, sf):
-    rows = _scenario_items(spark, sf).select("id", F.explode("vec").alias("x")).groupBy("id").agg(F.stddev_pop("x").alias("sd"), F.avg("x").alias("m"))
-    g = rows.select("id", "sd", (F.col("m") * F.col("sd")).alias("scaled"), F.lit(1).alias("one"))
+    rows = scenario_stats(table(spark, sf, "events"))
+    g = checkpointed(rows.select("id", "sd", (F.col("m") * F.col("sd")).alias("scaled"), F.lit(1).alias("one")))
     s = g.agg(F.avg("sd").alias("m1"), F.stddev_pop("sd").alias("s1"), F.avg("scaled").alias("m2"), F.stddev_pop("scaled").alias("s2"), F.lit(1).alias("one"))
     return g.join(F.broadcast(s), "one").select("id", F.round((F.col("sd") - F.col("m1")) / F.col("s1"), 6).alias("z_sd"), F.round((F.col("scaled") - F.col("m2")) / F.col("s2"), 6).alias("z_scaled"))
 
