@@ -12,6 +12,8 @@ from wayfold.session import cores
 
 #: Items of a block at most; a task holds two blocks.
 BLOCK_ROWS = 4_096
+#: Elements of the vectors that are compared at a time.
+STRIP = 4_096
 
 
 def _matrix(col) -> np.ndarray:
@@ -23,10 +25,12 @@ def _matrix(col) -> np.ndarray:
 
 def ratio_sum(a: np.ndarray, b: np.ndarray, eps: float = 1e-3) -> np.ndarray:
     """Sum over elements of min(x / (y + eps), y / (x + eps)), for all rows of a with all rows of b."""
-    out = np.empty((len(a), len(b)))
-    for i in range(len(a)):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[i] = np.minimum(a[i] / (b + eps), b / (a[i] + eps)).sum(1)
+    out = np.zeros((len(a), len(b)))
+    for x in range(0, a.shape[1], STRIP):
+        left, right = a[:, x : x + STRIP], np.ascontiguousarray(b[:, x : x + STRIP])
+        for i in range(len(a)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[i] += np.minimum(left[i] / (right + eps), right / (left[i] + eps)).sum(1)
     return out
 
 
@@ -50,8 +54,10 @@ def pair_scores(items: DataFrame, score, least: float | None = None) -> DataFram
     """(i, j, w), i < j, of all pairs of (id, vec) whose score is more than `least` (None: all).
 
     Items are dealt to blocks; two blocks meet in one task, so memory is bounded and each pair is computed once. All
-    pairs are the operator's meaning, the work is quadratic in the number of items. NaN scores give no row.
+    pairs are the operator's meaning, the work is quadratic in the number of items. NaN scores and null ids
+    give no row.
     """
+    items = items.filter("id is not null")
     n = items.count()
     blocks = max(-(-n // BLOCK_ROWS), min(max(1, n // 64), int(np.ceil(np.sqrt(2 * cores(items.sparkSession))))))
     placed = items.select("id", "vec").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from wayfold.functions import columns as C
@@ -144,13 +147,24 @@ def _scenario_cells(e):
 
 
 def _scenario_items(spark, sf):
-    e = table(spark, sf, "events")
-    item = ((F.ascii("event_type") * 31 + F.length("event_type")) % 97 * 100 + F.dayofmonth("ts")).cast("long")
-    cells = e.groupBy(F.col("user_id").alias("scen"), item.alias("id")).agg(F.round(F.avg("value"), 6).alias("t"))
-    # the number of scenarios bounds a vector; the list of scenarios is one small row joined to the items
-    scens = cells.agg(F.sort_array(F.collect_set("scen")).alias("scens"), F.lit(1).alias("one"))
-    rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("scen", "t"))).alias("m"), F.lit(1).alias("one"))
-    return rows.join(F.broadcast(scens), "one").select("id", F.transform("scens", lambda s: F.coalesce(F.element_at("m", s), F.lit(0.0))).alias("vec"))
+    return scenario_vectors(table(spark, sf, "events"))
+
+
+def scenario_vectors(events):
+    """(id, vec): an element for each scenario in order, one that is null last. The places of the scenarios are as many rows
+    as a vector has elements, so they are broadcast; a cell goes to its place in one step."""
+    scens = checkpointed(events.select(F.col("user_id").alias("scen")).distinct())
+    n = scens.count()
+    places = scens.agg(F.sort_array(F.collect_set("scen")).alias("s")).select(F.posexplode("s").alias("place", "scen"))
+    placed = _scenario_cells(events).join(F.broadcast(places), "scen", "left").select("id", "place", "t")
+
+    def run(key, t):
+        vec = np.zeros(n)
+        t = t.filter(pc.and_(t.column("place").is_valid(), t.column("t").is_valid()))
+        vec[t.column("place").to_numpy()] = t.column("t").to_numpy()
+        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "vec": pa.array([vec], pa.list_(pa.float64()))})
+
+    return placed.groupBy("id").applyInArrow(run, "id long, vec array<double>")
 
 
 def scenario_stats(events):
