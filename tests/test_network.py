@@ -182,3 +182,35 @@ def test_designs_and_paths_by_joins(spark, net, monkeypatch):
                 opened[s, t] = min(c, opened.get((s, t), c))
         own = [(s, t, c) for s, t, c in edges if (s, t) not in opened] + [(s, t, c) for (s, t), c in opened.items()]
         assert [x for x in small[0] if x[0] == scen and x[1] == 3] == sorted((scen, 3, n, d) for n, d in dijkstra(own, 3, 8).items())
+
+
+def test_edges_beyond_the_cutoff_do_not_count_towards_the_most(spark, monkeypatch):
+    """A network is searched as arrays if those of its edges that a search can take are few enough; an open project's edge
+    takes the place of a base edge however long it is."""
+    edges = spark.createDataFrame([(1, 2, 3.0), (2, 3, 4.0), (3, 4, 90.0), (4, 5, 90.0), (5, 6, 90.0)], "src long, dst long, time double")
+    pe = spark.createDataFrame([(7, 2, 3, 50.0), (7, 3, 6, 50.0), (8, 1, 4, 5.0)], "proj long, src long, dst long, time double")
+    origins = spark.createDataFrame([(1,), (4,)], "orig long")
+    runs = spark.createDataFrame([(7, 1, [7]), (8, 1, [8, 7]), (9, 1, [])], "scen long, orig long, open array<long>")
+    monkeypatch.setattr(graph, "MOST_EDGES", 2)
+    for name in ("reach_by_joins", "reach_of_designs_by_joins"):
+        monkeypatch.setattr(graph, name, lambda *_: pytest.fail("searched by joins"))
+    assert sorted(map(tuple, graph.reach(origins, edges, 10).collect())) == [(1, 1, 0), (1, 2, 3), (1, 3, 7), (4, 4, 0)]
+    got = sorted((r["scen"], r["node"], r["dist"]) for r in graph.reach_of_designs(runs, edges, pe, 10).collect())
+    assert got == [(7, 1, 0), (7, 2, 3), (8, 1, 0), (8, 2, 3), (8, 4, 5), (9, 1, 0), (9, 2, 3), (9, 3, 7)]
+
+
+def test_pairs_apart_are_the_same_by_joins(spark, net, monkeypatch):
+    """Pairs out of reach now, under several networks at once, against single searches."""
+    edges, df = net
+    marked = df.withColumn("mark", (F.col("src") * 5 + F.col("dst") * 3) % 8)
+    origins = spark.createDataFrame([(o,) for o in (0, 3, 5, 99)], "orig long")
+    for most in (2_000_000, 3):
+        monkeypatch.setattr(graph, "MOST_EDGES", most)
+        far = lambda df, c: {(r["orig"], r["node"]): r["dist"] for r in graph.reach(origins, df, c).collect()}
+        now = far(marked.filter("mark % 2 = 1"), 6)
+        pairs = {k: d for k, d in far(df, 9).items() if k not in now and k[0] != k[1]}
+        got = graph.reach_apart(origins, marked, 9, 6)
+        assert {(r["orig"], r["node"]): r["dist"] for r in got.collect()} == pairs and len(pairs) > 3
+        rows = graph.reach_apart(origins, marked, 9, 6, [1, 2]).collect()
+        want = [(b, *k, d) for b in (1, 2) for k, d in far(marked.filter(f"(mark & {1 << b}) != 0"), 9).items() if k in pairs]
+        assert sorted(map(tuple, rows)) == sorted(want) and want
