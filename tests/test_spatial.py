@@ -95,3 +95,19 @@ def test_nearest_points(spark, monkeypatch):
         monkeypatch.setattr(spatial, "NEAREST_CHUNK", chunk)
         got = {r["id"]: r["nearest"] for r in spatial.nearest_points(spark.createDataFrame(places, POINTS), spark.createDataFrame(pts, POINTS)).collect()}
         assert got == want
+
+
+def test_nearest_points_stay_in_their_cells(spark, monkeypatch):
+    """Only pivots and sizes of cells go to the driver; a place that holds many points, far places and cut cells are right."""
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.normal(0, 50, (1500, 2)).round(2), np.full((600, 2), 7.0), [[5000.0, 5000.0], [-3000.0, 10.0]]])
+    pts = [(5000 - i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([rng.normal(0, 80, (80, 2)).round(2), [[7.0, 7.0], [1e6, 1e6], [-2000.0, 0.0]]]))]
+    want = {i: min(pts, key=lambda p: ((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]))[0] for i, x, y in places}
+    monkeypatch.setattr(spatial, "NEAREST_CHUNK", 200)
+    kind, most = type(spark.range(1)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: most.append(len(rows := collect(self))) or rows)
+    got = spatial.nearest_points(spark.createDataFrame(places, POINTS), spark.createDataFrame(pts, POINTS), cell_rows=100)
+    assert max(most) <= 21
+    assert {r["id"]: r["nearest"] for r in got.collect()} == want

@@ -233,38 +233,65 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
     return nearby(points, NEAR_METRES, shapes)
 
 
-#: Points of one chunk that a task searches for the nearest.
-NEAREST_CHUNK = 500_000
+#: Points of a cell that one task searches for the nearest, and places whose cells are looked for together.
+NEAREST_CHUNK, NEAREST_TOGETHER = 40_000, 256
 
 
-def nearest_points(places: DataFrame, points: DataFrame, metric: str = "euclidean") -> DataFrame:
+def _reaching_cells(px, py, reach: np.ndarray, metric: str):
+    """The cells that may hold the nearest point of each place: a pivot is a point, so none farther than the nearest pivot is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = Pivots(px, py, metric)
+        for b in batches:
+            for i in range(0, b.num_rows, NEAREST_TOGETHER):
+                part = b.slice(i, NEAREST_TOGETHER)
+                x, y = _floats(part, 1), _floats(part, 2)
+                _, near, *_ = pivots.within_nearest(x, y, 0.0)
+                _, _, q, p, _ = pivots.within_nearest(x, y, float(reach.max()), limit=lambda q, p: near[q] + reach[p])  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), part.column(0).take(pa.array(q)), pa.array(x[q]), pa.array(y[q])], names=["cell", "id", "x", "y"])
+
+    return run
+
+
+def _nearest_in_cell(metric: str):
+    def run(key, places, points):
+        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if places.num_rows and points.num_rows:
+            points = points.sort_by("id")
+            ids, x, y = (points.column(c).to_numpy() for c in ("id", "x", "y"))
+            _, first = np.unique(np.stack([x, y], 1) + 0.0, axis=0, return_index=True)  # of points at one place the smallest id
+            first.sort()
+            pivots = Pivots(x[first], y[first], metric)
+            home, d, *_ = pivots.within_nearest(places.column("x").to_numpy(), places.column("y").to_numpy(), 0.0)
+            out = [places.column("id").to_numpy(), ids[first[home]], d]
+        return pa.table(dict(zip(("id", "nearest", "distance"), out)))
+
+    return run
+
+
+def nearest_points(places: DataFrame, points: DataFrame, metric: str = "euclidean", cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, nearest, distance): the nearest of `points` (id, x, y) for each of `places` (id, x, y), ties to the smaller id.
 
-    Points go to the places in chunks of bounded size, each searched through two levels of pivots; with several chunks
-    the least distance of each place wins in one grouped minimum. Places or points without a finite place take no part.
+    Points lie in cells around pivots, which are a sample of them; a cell of many is cut into slabs. A place goes to the
+    cells that can hold a point as near as its nearest pivot, and the least distance wins. Only pivots and the sizes of
+    cells go to the driver. Places or points without a finite place take no part.
     """
     ok = finite(F.col("x")) & finite(F.col("y")) & F.col("id").isNotNull()
-    points, places = points.select("id", "x", "y").filter(ok), places.select("id", "x", "y").filter(ok)
-    n = points.count()
-    chunks = max(1, -(-n // NEAREST_CHUNK))
-    parts = []
-    for c in range(chunks):
-        rows = points.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).orderBy("id").collect()
-        if not rows:
-            continue
-        ids, px, py = (np.array([r[i] for r in rows], t) for i, t in ((0, np.int64), (1, float), (2, float)))
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, px=px, py=py) -> Iterator[pa.RecordBatch]:
-            pivots = Pivots(px, py, metric)
-            for b in batches:
-                if b.num_rows:
-                    home, d, *_ = pivots.within_nearest(_floats(b, 1), _floats(b, 2), 0.0)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[home]), pa.array(d)], names=["id", "nearest", "distance"])
-
-        parts.append(places.mapInArrow(run, "id long, nearest long, distance double"))
-    if not parts:
-        return places.sparkSession.createDataFrame([], "id long, nearest long, distance double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out if len(parts) == 1 else out.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("id", "b.nearest", "b.distance")
+    number = [F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
+    points, places = checkpointed(points.filter(ok).select(*number)), places.filter(ok).select(*number)
+    spark = points.sparkSession
+    px, py, n = choose_pivots(points, cell_rows)
+    if not n:
+        return spark.createDataFrame([], "id long, nearest long, distance double")
+    assigned = checkpointed(assign_cells(points, px, py, 0.0, metric).filter("home").select("cell", "d", "id", "x", "y"))
+    sizes = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()
+    reach = np.full(len(px), -1e300)
+    for r in sizes:
+        reach[r["cell"]] = r["r"]
+    slabs = _slab_table(spark, {r["cell"]: -(-r["n"] // NEAREST_CHUNK) for r in sizes})
+    cut = lambda df, slab: df.join(slabs, "cell", "left").withColumn("slabs", F.coalesce("slabs", F.lit(1))).withColumn("slab", slab).select("cell", F.col("slab").cast("int").alias("slab"), "id", "x", "y")
+    held = cut(assigned, F.pmod(F.xxhash64("id"), F.col("slabs")))
+    asked = places.mapInArrow(_reaching_cells(px, py, reach, metric), "cell int, id long, x double, y double")
+    asked = cut(asked, F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)))
+    found = asked.groupBy("cell", "slab").cogroup(held.groupBy("cell", "slab")).applyInArrow(_nearest_in_cell(metric), "id long, nearest long, distance double")
+    return found.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("id", "b.nearest", "b.distance")
