@@ -35,7 +35,8 @@ class Problem:
     def __post_init__(self):
         """Inputs are computed once: every round of a search reads them again."""
         self.base, self.project_edges, self.costs, self.pairs = (checkpointed(d) for d in (self.base, self.project_edges, self.costs, self.pairs))
-        self.edges = graph.small_edges(self.base), graph.small_edges(self.project_edges, "proj")
+        base, extra = graph.usable_edges(self.base, self.cutoff, self.project_edges)
+        self.edges = graph.small_edges(base), graph.small_edges(extra, "proj")
 
     @cached_property
     def origins(self) -> DataFrame:
