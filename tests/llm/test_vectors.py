@@ -182,3 +182,56 @@ def test_many_copies_among_others(spark):
     first = [int(i) * 3 + 1 for i in same[:4]]
     assert len(same) == 500 and all((int(i) * 3 + 1, f) in got for i in same for f in [x for x in first if x != int(i) * 3 + 1][:3])
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+@pytest.mark.parametrize("d", [1, 3, 32])
+def test_packed_vectors_are_exact(d):
+    rng = np.random.default_rng(d)
+    m = np.round(rng.normal(size=(3000, d)) * 300) / 1024
+    m[(m == 0).all(1)] = 1.0
+    other = [rng.normal(size=(50, d)), rng.normal(size=(50, d)).astype("f4").astype(float), rng.integers(-(2**24), 2**24, (50, d)) + 0.5]
+    extreme = [np.full((1, d), x) for x in (1e-320, 1.7e308, 2.0**24, -(2.0**-40))]
+    for rows in (m, m * 2.0 ** rng.integers(-300, 300, (len(m), 1)), rng.permutation(np.concatenate([m[:200], *other, *extreme]))):
+        assert (vectors.unpacked(vectors.packed(rows)) == vectors.unit(rows)).all()
+        assert (vectors.unpacked(vectors.packed(rows).slice(5, 9)) == vectors.unit(rows[5:14])).all()
+    assert vectors.packed(m).nbytes < (4 * d + 8) * len(m)
+    assert len(vectors.unpacked(vectors.packed(m[:0]))) == 0
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    none = sc._gateway.jvm.java.util.ArrayList()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_blocks_of_pivots_are_not_copied(spark, monkeypatch, tile):
+    """25 blocks meet each other, but each row is moved once; pairs are those of brute force, by the bound of their radii."""
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(cluster, "TILE_ROWS", tile, raising=False)
+    rng = np.random.default_rng(tile)
+    v = rng.normal(size=(5000, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    radius = np.where(rng.random(5000) < 0.5, 0.0, rng.random(5000) * 0.3)
+    bound = lambda a, b: np.where(np.maximum(a, b) > 0, np.cos(np.asarray(a) + np.asarray(b) + 0.2), 2.0)
+    df = spark.createDataFrame([(i, bytes(x.as_py()), float(r)) for i, (x, r) in enumerate(zip(vectors.packed(v), radius))], "id long, vec binary, radius double")
+    before = shuffled(spark)
+    got = cluster.similar_pivots(df, bound).collect()
+    moved = shuffled(spark) - before
+    s = v @ v.T
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= bound(radius[:, None], radius[None]))) if i < j}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 100
+    assert 0 < moved < 3 * len(v) * (8 * v.shape[1] + 24)
+
+
+def test_only_the_clusters_stay_on_disk(spark):
+    from pathlib import Path
+
+    size = lambda: sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+    cluster.pivot_clusters(frame(spark, make(6)), "od_id", "feature", 0.95)
+    before = size()
+    c = cluster.pivot_clusters(frame(spark, np.concatenate([make(7)] * 4)), "od_id", "feature", 0.95)
+    assert size() - before < 1.3 * c.count() * 220
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

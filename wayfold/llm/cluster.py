@@ -18,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import topn
-from wayfold.llm.vectors import at_least, cell_counts, coarse_pivots, lists, matrix, place_in_cells, slabs, with_slab
+from wayfold.llm.vectors import at_least, cell_counts, coarse_pivots, lists, matrix, packed_rows, place_in_cells, slabs, unpacked, with_slab
 from wayfold.operators.components import components
-from wayfold.session import checkpointed, cores
+from wayfold.session import checkpointed, cores, frees_shuffles, released
 
 #: Rows of a cell that one task takes.
 SLAB_ROWS = 40_000
-#: Pivots of a block of the blocked join at most; two blocks make a task.
-BLOCK_ROWS = 32_768
+#: Pivots of a block of the blocked join, about; two blocks make a task. Rows of either that are compared at once, so that they stay in cache.
+BLOCK_ROWS, TILE_ROWS = 32_768, 512
 #: Members of either side nearest to the other pivot that are compared first.
 NEAREST_FIRST = 32
 #: Members of one pivot that go to one bucket, and rows a bucket is meant to have.
@@ -70,51 +71,75 @@ def _local_pivots(least: float):
     def run(key, t):
         ids, h = t.column("id").to_numpy(), t.column("h").to_numpy()
         order = np.lexsort((ids, h))
-        v = matrix(t.column("vec"))[order]
-        owner, cosine = greedy_pivots(v, least)
-        return pa.table({"id": ids[order], "vec": lists(v), "cell": t.column("cell").take(pa.array(order)), "pivot": ids[order][owner], "cosine": cosine})
+        t = t.take(pa.array(order))
+        owner, cosine = greedy_pivots(unpacked(t.column("vec")), least)
+        return pa.table({"id": ids[order], "vec": t.column("vec"), "cell": t.column("cell"), "pivot": ids[order][owner], "cosine": cosine})
 
     return run
 
 
-ASSIGNED = "id long, vec array<double>, cell int, pivot long, cosine double"
+ASSIGNED = "id long, vec binary, cell int, pivot long, cosine double"
+
+
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition as one, widest radius first."""
+    t = [b for b in batches if b.num_rows]
+    if t:
+        t = pa.Table.from_batches(t).sort_by([("radius", "descending"), ("id", "ascending")]).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as to:
+            to.write_table(t)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+
+def _tile_pairs(one: pa.Table, two: pa.Table, same: bool, bound) -> pa.RecordBatch:
+    ia, ra, va = one.column("id").to_numpy(), one.column("radius").to_numpy(), unpacked(one.column("vec"))
+    ib, rb, vb = (ia, ra, va) if same else (two.column("id").to_numpy(), two.column("radius").to_numpy(), unpacked(two.column("vec")))
+    sa, sb = va.astype(np.float32), vb.astype(np.float32)  # find the pairs, with room for their error; cosines are taken in double
+    room = 2 * (va.shape[1] + 2) * 2.0**-24
+    out = []
+    for x in range(0, len(ia), TILE_ROWS):
+        for y in range(x if same else 0, len(ib), TILE_ROWS):
+            loosest = float(bound(ra[x], rb[y]))  # radii descend
+            if loosest > 1:
+                continue
+            hit = np.flatnonzero(sa[x : x + TILE_ROWS] @ sb[y : y + TILE_ROWS].T >= np.float32(loosest - room))
+            if not len(hit):
+                continue
+            p, q = np.divmod(hit, len(sb[y : y + TILE_ROWS]))
+            p, q = p + x, q + y
+            c = np.einsum("ij,ij->i", va[p], vb[q])
+            keep = c >= bound(ra[p], rb[q])
+            if same:
+                keep &= p < q
+            out.append((ia[p[keep]], ib[q[keep]], c[keep]))
+    a, b, c = (np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c)], names=["a", "b", "cosine"])
 
 
 def _block_pairs(bound):
-    """All pairs of two blocks of pivots whose cosine reaches bound(radius of one, radius of the other)."""
+    """All pairs of rows of two blocks whose cosine reaches bound(radius of one, radius of the other), which falls as radii grow; above 1, none does."""
 
-    def run(key, t):
-        i, j = (k.as_py() for k in key)
-        ids, block, r, v = t.column("id").to_numpy(), t.column("block").to_numpy(), t.column("radius").to_numpy(), matrix(t.column("vec"))
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = []
-        single = v.astype(np.float32)  # finds the pairs, with room for its error; their cosines are taken in double
-        room = 2 * (v.shape[1] + 2) * 2.0**-24
-        loosest = bound(r[a].max(), r[b].max()) if len(a) and len(b) else 2.0
-        for x in range(0, len(a), 2048):
-            for y in range(x if i == j else 0, len(b), 2048):
-                p, q = a[x : x + 2048], b[y : y + 2048]
-                hp, hq = np.nonzero(single[p] @ single[q].T >= np.float32(loosest - room))
-                p, q = p[hp], q[hq]
-                c = np.einsum("ij,ij->i", v[p], v[q])
-                keep = c >= bound(r[p], r[q])
-                if i == j:
-                    keep &= p < q
-                out.append((ids[p[keep]], ids[q[keep]], c[keep]))
-        a, b, c = (np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": c})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, one, two in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "one", "two"))):
+                yield _tile_pairs(pa.ipc.open_stream(one).read_all(), pa.ipc.open_stream(two).read_all(), i == j, bound)
 
     return run
 
 
 def similar_pivots(pivots: DataFrame, bound) -> DataFrame:
-    """(a, b, cosine), a < b, of all pairs of rows of (id, vec, radius) within the bound, compared block by block."""
+    """(a, b, cosine), a < b, of all pairs of rows of (id, vec, radius) within the bound, compared block by block and kept.
+    A block is one row of a checkpoint, which each of its tasks reads there: no copies of blocks are written."""
     n = pivots.count()
     blocks = max(-(-n // BLOCK_ROWS), min(max(1, n // 1024), 2 * int(np.sqrt(cores(pivots.sparkSession)))))
-    placed = pivots.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int"))
-    met = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tasks = met.select(F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id", "vec", "radius")
-    return tasks.repartition(max(1, blocks * (blocks + 1) // 2), "i", "j").groupBy("i", "j").applyInArrow(_block_pairs(bound), "a long, b long, cosine double")
+    dealt = checkpointed(pivots.select("id", "vec", "radius").repartition(max(1, blocks), "id").mapInArrow(_block, "block int, rows binary"))
+    one, two = dealt.select(F.col("block").alias("i"), F.col("rows").alias("one")), dealt.select(F.col("block").alias("j"), F.col("rows").alias("two"))
+    once = F.when((F.col("i") + F.col("j")) % 2 == 0, F.col("i") <= F.col("j")).otherwise(F.col("i") > F.col("j"))  # either order, so that tasks are even
+    met = one.join(two.hint("shuffle_replicate_nl"), once)
+    out = checkpointed(met.select("i", "j", "one", "two").mapInArrow(_block_pairs(bound), "a long, b long, cosine double"))
+    released(dealt)
+    return out
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -158,8 +183,8 @@ def _choose(least: float, keep: bool):
     pivot is one to choose from and pivots stay their own."""
 
     def run(m, o, theirs):
-        ids, pivot, cosine, v = m.column("id").to_numpy(), m.column("pivot").to_numpy().copy(), m.column("cosine").to_numpy().copy(), matrix(m.column("vec"))
-        other, ov = o.column("other").to_numpy(), matrix(o.column("ovec"))
+        ids, pivot, cosine, v = m.column("id").to_numpy(), m.column("pivot").to_numpy().copy(), m.column("cosine").to_numpy().copy(), unpacked(m.column("vec"))
+        other, ov = o.column("other").to_numpy(), unpacked(o.column("ovec"))
         good = np.full(len(ids), keep)
         for p, a, z in _slices(m.column("pivot").to_numpy()):
             if p not in theirs:
@@ -184,22 +209,27 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("old"), F.col("b").alias("pivot")).unionByName(pairs.select(F.col("b").alias("old"), F.col("a").alias("pivot")))
 
 
+@frees_shuffles
 def pivot_clusters(df: DataFrame, key: str, vec: str, threshold: float, seed: int = 0) -> DataFrame:
     """(id, vec, cell, pivot, cosine): every row with a pivot whose cosine, rounded to six decimals, is `threshold` or
     more. `df` has one row per key; vectors must be of one length, usable ones only. An empty table gives none."""
     spark = df.sparkSession
     least = at_least(threshold)
     wide = float(np.cos(min(np.pi, 2 * np.arccos(least)))) - 1e-9
-    centres, n = coarse_pivots(df, key, vec)
+    rows = checkpointed(packed_rows(df, key, vec))
+    centres, n = coarse_pivots(rows, "id", "vec")
     if not n or not len(centres):
         return spark.createDataFrame([], ASSIGNED)
-    left = checkpointed(place_in_cells(df, key, vec, centres))
-    done = []
+    left = placed = checkpointed(place_in_cells(rows, centres))
+    released(rows)
+    done, over = [], []
     while counts := cell_counts(left):
-        rows = with_slab(left, slabs(counts, SLAB_ROWS)).withColumn("h", F.xxhash64("id", F.lit(seed)))
-        local = checkpointed(rows.select("cell", "slab", "id", "h", "vec").groupBy("cell", "slab").applyInArrow(_local_pivots(least), ASSIGNED))
+        dealt = with_slab(left, slabs(counts, SLAB_ROWS)).withColumn("h", F.xxhash64("id", F.lit(seed)))
+        local = checkpointed(dealt.select("cell", "slab", "id", "h", "vec").groupBy("cell", "slab").applyInArrow(_local_pivots(least), ASSIGNED))
+        if not done:
+            released(placed)
         pivots = local.filter("id = pivot").select("id", "vec", F.lit(0.0).alias("radius"))
-        near = checkpointed(similar_pivots(pivots, lambda a, b: np.zeros(np.shape(a)) + wide))
+        near = similar_pivots(pivots, lambda a, b: np.zeros(np.shape(a)) + wide)
         lose = F.when(F.struct(F.xxhash64("a", F.lit(seed)), "a") < F.struct(F.xxhash64("b", F.lit(seed)), "b"), F.col("b")).otherwise(F.col("a"))
         lost = checkpointed(near.filter(F.col("cosine") >= least).select(lose.alias("pivot")).distinct())
         gone = _sized(lost)
@@ -210,18 +240,22 @@ def pivot_clusters(df: DataFrame, key: str, vec: str, threshold: float, seed: in
         chosen = checkpointed(meet_pivots(moved, to, stayed, _choose(least, False), ASSIGNED))
         done.append(chosen.filter("pivot is not null"))
         left = chosen.filter("pivot is null").select("id", "vec", "cell")
+        over += [local, near, lost, chosen]
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return checkpointed(out)
+    out = checkpointed(out)
+    released(*over)
+    return out
 
 
+@frees_shuffles
 def closest_pivots(clusters: DataFrame, threshold: float) -> DataFrame:
     """The clusters with each member moved to the closest of all pivots; pivots stay their own."""
     least = at_least(threshold)
     wide = float(np.cos(min(np.pi, 2 * np.arccos(least)))) - 1e-9
     pivots = clusters.filter("id = pivot").select("id", "vec", F.lit(0.0).alias("radius"))
-    near = checkpointed(similar_pivots(pivots, lambda a, b: np.zeros(np.shape(a)) + wide))
+    near = similar_pivots(pivots, lambda a, b: np.zeros(np.shape(a)) + wide)
     return meet_pivots(clusters, _both_ways(near), pivots, _choose(least, True), ASSIGNED)
 
 
@@ -229,7 +263,7 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         if not b.num_rows:
             continue
-        p, v = b.column(0).to_numpy(), matrix(b.column(1))
+        p, v = b.column(0).to_numpy(), unpacked(b.column(1))
         who, inv = np.unique(p, return_inverse=True)
         s = np.zeros((len(who), v.shape[1]))
         np.add.at(s, inv, v)
@@ -240,6 +274,14 @@ def _add_sums(key, t):
     return pa.table({"pivot": [key[0].as_py()], "total": lists(matrix(t.column("total")).sum(0, keepdims=True)), "n": [int(t.column("n").to_numpy().sum())]})
 
 
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            score = np.einsum("ij,ij->i", unpacked(b.column(3)), matrix(b.column(4)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(score)], names=["pivot", "id", "n", "score"])
+
+
+@frees_shuffles
 def typical_members(clusters: DataFrame, most: int = 3) -> DataFrame:
     """(cluster, members, medoid, typical): per cluster its size and its `most` most typical members.
 
@@ -248,22 +290,22 @@ def typical_members(clusters: DataFrame, most: int = 3) -> DataFrame:
     """
     sums = clusters.select("pivot", "vec").mapInArrow(_partial_sums, "pivot long, total array<double>, n long")
     sums = sums.groupBy("pivot").applyInArrow(_add_sums, "pivot long, total array<double>, n long")
-    score = F.aggregate(F.zip_with("vec", "total", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = checkpointed(clusters.join(sums, "pivot").select("pivot", "id", "n", F.round(score, 9).alias("score")))
+    scored = clusters.join(sums, "pivot").select("pivot", "id", "n", "vec", "total").mapInArrow(_scores, "pivot long, id long, n long, score double")
+    scored = checkpointed(scored.withColumn("score", F.round("score", 9)))
     best = topn.top_n_per_group(scored, ["pivot"], "score", ["id"], most)
     listed = best.groupBy("pivot", "n").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("t"))
     return listed.select(F.col("pivot").alias("cluster"), F.col("n").alias("members"), F.col("t")[0]["id"].alias("medoid"), F.col("t.id").alias("typical"))
 
 
-BORDER = "a long, b long, first boolean, id long, vec array<double>"
+BORDER = "a long, b long, first boolean, id long, vec binary"
 
 
 def _border(theta: float, most: int | None):
     """Members that lie near enough to a neighbouring cluster to have a link into it; with `most` only the nearest of each bucket."""
 
     def run(m, o, theirs):
-        ids, pivot, v = m.column("id").to_numpy(), m.column("pivot").to_numpy(), matrix(m.column("vec"))
-        other, ov, radius = o.column("other").to_numpy(), matrix(o.column("ovec")), o.column("radius").to_numpy()
+        ids, pivot, v = m.column("id").to_numpy(), m.column("pivot").to_numpy(), unpacked(m.column("vec"))
+        other, ov, radius = o.column("other").to_numpy(), unpacked(o.column("ovec")), o.column("radius").to_numpy()
         row, to = [np.empty(0, int)], [np.empty(0, np.int64)]
         for p, a, z in _slices(pivot):
             if p not in theirs:
@@ -289,7 +331,7 @@ def _border(theta: float, most: int | None):
                     to.append(np.full(len(b), other[x + k]))
         row, to = np.concatenate(row), np.concatenate(to)
         mine = pivot[row]
-        return pa.table({"a": np.minimum(mine, to), "b": np.maximum(mine, to), "first": mine < to, "id": ids[row], "vec": lists(v[row])})
+        return pa.table({"a": np.minimum(mine, to), "b": np.maximum(mine, to), "first": mine < to, "id": ids[row], "vec": m.column("vec").take(pa.array(row))})
 
     return run
 
@@ -303,7 +345,7 @@ def _any_link(least: float):
 
     def run(key, t):
         t = t.sort_by([("a", "ascending"), ("b", "ascending")])
-        a, b, first, v = t.column("a").to_numpy(), t.column("b").to_numpy(), t.column("first").to_numpy(), matrix(t.column("vec"))
+        a, b, first, v = t.column("a").to_numpy(), t.column("b").to_numpy(), t.column("first").to_numpy(), unpacked(t.column("vec"))
         out = []
         for p, x, z in _slices(a):
             for q, y, w in _slices(b[x:z]):
@@ -315,6 +357,7 @@ def _any_link(least: float):
     return run
 
 
+@frees_shuffles
 def linked_groups(clusters: DataFrame, threshold: float, least_members: int = 3) -> DataFrame:
     """(first_id, id): the connected components of the graph of all links, of `least_members` rows or more.
 
@@ -325,10 +368,12 @@ def linked_groups(clusters: DataFrame, threshold: float, least_members: int = 3)
     """
     least = at_least(threshold)
     theta = float(np.arccos(least))
-    stats = clusters.groupBy("pivot").agg(F.min("cosine").alias("least"))
+    stats = clusters.groupBy("pivot").agg(F.min("cosine").alias("least"), F.count("*").alias("n"))
     heads = clusters.filter("id = pivot").select("id", "vec").join(stats.withColumnRenamed("pivot", "id"), "id")
-    heads = checkpointed(heads.select("id", "vec", F.acos(F.least(F.lit(1.0), F.col("least"))).alias("radius")))
-    near = checkpointed(similar_pivots(heads, lambda a, b: np.cos(np.minimum(np.pi, np.asarray(a) + np.asarray(b) + theta)) - 1e-9).select("a", "b"))
+    # only a pivot without members has no radius; two of these are not linked, as pivots are apart
+    wide = F.when(F.col("n") == 1, 0.0).otherwise(F.greatest(F.lit(1e-7), F.acos(F.least(F.lit(1.0), F.col("least")))))
+    heads = checkpointed(heads.select("id", "vec", wide.alias("radius")))
+    near = similar_pivots(heads, lambda a, b: np.where(np.maximum(a, b) > 0, np.cos(np.minimum(np.pi, np.asarray(a) + np.asarray(b) + theta)) - 1e-9, 2.0)).select("a", "b")
 
     def border(pairs: DataFrame, most: int | None) -> DataFrame:
         ends = pairs.select(F.col("a").alias("pivot")).union(pairs.select(F.col("b").alias("pivot"))).distinct()

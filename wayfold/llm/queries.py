@@ -17,13 +17,16 @@ MIX_TOTAL = None
 DIMENSIONS, LINK = 32, 0.95
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_in_use(table(spark, sf_dir, "embedding"), ["od_id"], "loaded_at", ["feature"], vectors.usable_vector("feature", DIMENSIONS))
+
+
 def vectors_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "embedding")
-    return checkpointed(rows_in_use(t, ["od_id"], "loaded_at", ["feature"], vectors.usable_vector("feature", DIMENSIONS)))
+    return checkpointed(_vectors(spark, sf_dir))
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.pivot_clusters(vectors_in_use(spark, sf_dir), "od_id", "feature", LINK)
+    return cluster.pivot_clusters(_vectors(spark, sf_dir), "od_id", "feature", LINK)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
