@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import columns as C
 from wayfold.operators import access, design, graph
+from wayfold.plans import growing
 
 EDGES = "src long, dst long, time double"
 
@@ -214,3 +215,33 @@ def test_pairs_apart_are_the_same_by_joins(spark, net, monkeypatch):
         rows = graph.reach_apart(origins, marked, 9, 6, [1, 2]).collect()
         want = [(b, *k, d) for b in (1, 2) for k, d in far(marked.filter(f"(mark & {1 << b}) != 0"), 9).items() if k in pairs]
         assert sorted(map(tuple, rows)) == sorted(want) and want
+
+
+def test_pairs_apart_in_a_large_network_are_found_piece_by_piece(spark, monkeypatch):
+    """Beyond MOST_EDGES the pairs come out as from one array, without a join search for each network; pieces that are too
+    large themselves go by joins, with the same pairs."""
+    random.seed(8)
+    edges = [(i, i + d, float(random.randint(3, 5)), random.randint(0, 7)) for i in range(300) for d in (1, 2, 9) if random.random() < 0.7]
+    edges += [(b, a, t, m) for a, b, t, m in edges]
+    marked = spark.createDataFrame(edges + edges[:5] + [(5, 250, 90.0, 7)], "src long, dst long, time double, mark long")
+    origins = spark.createDataFrame([(o,) for o in [*range(0, 300, 3), 3, 999, None]], "orig long")
+    monkeypatch.setattr(graph, "EDGES_A_PIECE", 100)
+    monkeypatch.setattr(graph, "RUN_OF_NODES", 16)
+    got = lambda under: sorted(map(tuple, graph.reach_apart(origins, marked, 9, 6, under).collect()))
+    several, one = got([1, 2]), got(None)
+    assert len(several) > 300 and len(one) > 300
+    joins = graph.reach_by_joins
+    for most, few, under, want in ((len(edges) - 1, 100_000, [1, 2], several), (len(edges) - 1, 0, None, one), (150, 100_000, None, one)):
+        monkeypatch.setattr(graph, "MOST_EDGES", most)
+        monkeypatch.setattr(graph, "FEW", few)
+        monkeypatch.setattr(graph, "reach_by_joins", joins if most == 150 else lambda *_: pytest.fail("searched by joins"))
+        assert got(under) == want
+
+
+def test_event_types_without_a_number_open_no_network(spark, small, tmp_path):
+    """A missing event type gives no scenario; it raised."""
+    for t in ("od", "nodes", "events"):
+        df = spark.read.parquet(f"{small}/{t}.parquet")
+        (df.unionByName(df.limit(3).withColumn("event_type", F.lit(None).cast("string"))) if t == "events" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    run = growing.places_scenario_od
+    assert sorted(map(tuple, run(spark, str(tmp_path)).collect())) == sorted(map(tuple, run(spark, small).collect()))
